@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these characters (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+BATCH_ROWS = 1_000  #: rows and bytes of the batches that Python workers get
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package. On a cluster, submit it with --py-files or install it."""
+    """Lets Python workers import this package, and bounds the Arrow batches they get, as texts may be long.
+
+    On a cluster, submit the package with --py-files or install it.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     now = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in now.split(os.pathsep):
