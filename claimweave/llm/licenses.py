@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from claimweave.llm.common import written
+
 # Known license sentences by identifier, and the ordered rules over them.
 SENTENCES = {
     "mit-title": ["The MIT License", "MIT License", "The MIT License (MIT)"],
@@ -91,7 +93,7 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     lined = r"regexp_replace(text, '(?<=[.!?:])\\s+|\\n\\s*', '\u0001')"
     ways = f"transform({pieces(lined)}, x -> struct(1 as way, x.i as i, x.key as key)), transform({pieces(marked)}, x -> struct(2 as way, x.i as i, x.key as key))"
     cut = cued.selectExpr("doc_id", f"explode(concat({ways})) as x").select("doc_id", "x.*")
-    hits = cut.join(known, "key").select("doc_id", "way", "i", "sid").distinct()
+    hits = written(cut.join(known, "key").select("doc_id", "way", "i", "sid").distinct(), "hits")
     hits = hits.withColumn("at", F.row_number().over(W.partitionBy("doc_id", "way").orderBy("i", "sid")) - 1)
     flat = ", ".join(f"('{rule}', '{lic}', {k}, {len(ids)}, '{sid}')" for rule, (lic, ids) in rules.items() for k, sid in enumerate(ids))
     steps = F.broadcast(spark.sql(f"select * from values {flat} as t(rule, license, step, steps, sid)"))
