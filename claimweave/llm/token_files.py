@@ -26,8 +26,8 @@ from pyspark.sql import Window as W
 from claimweave.llm.common import ready, shared_dir, written
 
 END_ID = 1
-MEMO_MOST = 300_000  #: encoded chunks a worker remembers
-PIECE = 1 << 22  #: characters of text encoded at a time
+MEMO_MOST = 500_000  #: encoded chunks a worker remembers
+PIECE = 1 << 22  #: chunks encoded, and bytes of ids held, at a time
 _encoders: dict[str, tuple] = {}
 
 
@@ -39,7 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cuts = self._may_cut()
 
@@ -49,27 +49,28 @@ class Encoder:
         parts = [[i for c in s.replace("\n", " ").split(" ") if c for i in self.tokenizer.encode(c, add_special_tokens=False).ids] for s in samples]
         return direct == parts
 
-    def _learn(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.memo[c] = np.array(e.ids, dtype=self.dtype)
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
 
-    def encode(self, text: str | None) -> list[np.ndarray]:
-        """The ids of a text, in pieces."""
+    def encode(self, text: str | None) -> list[bytes]:
+        """The ids of a text as bytes, in pieces."""
         if not text:
             return []
         if not self.cuts:
-            return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)]
-        out: list[np.ndarray] = []
+            return [self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)]
+        out: list[bytes] = []
         chunks = text.replace("\n", " ").split(" ")
         for at in range(0, len(chunks), PIECE):
             some = chunks[at : at + PIECE]
-            new = [c for c in set(some) if c not in self.memo]
+            new = set(some).difference(self.memo)
+            if new and len(self.memo) + len(new) > MEMO_MOST:
+                self.memo.clear()
+                new = set(some)
             if new:
-                if len(self.memo) + len(new) > MEMO_MOST:
-                    self.memo.clear()
-                    new = list(set(some))
-                self._learn(new)
-            out += map(self.memo.__getitem__, some)
+                made = list(new)
+                for c, e in zip(made, self.tokenizer.encode_batch_fast(made, add_special_tokens=False), strict=True):
+                    self.memo[c] = self._bytes(e.ids)
+            out.append(b"".join(map(self.memo.__getitem__, some)))
         return out
 
 
@@ -91,22 +92,22 @@ def _write_part(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str) -
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     name = f"part-{part:06d}-{uuid.uuid4().hex}"
-    docs, total, nulls, last = 0, 0, 0, np.array([END_ID], dtype=enc.dtype)
+    docs, total, nulls, width, last = 0, 0, 0, enc.dtype.itemsize, np.array([END_ID], dtype=enc.dtype).tobytes()
     ids, off, doc = (fs.open_output_stream(f"{root}/{name}.{x}") for x in ("ids", "off", "doc"))
     try:
         off.write(np.zeros(1, "<i8").tobytes())
         for pdf in batches:
-            ends, held = [], []
+            ends, held, size = [], [], 0
             for text in pdf["text"]:
                 got = [*enc.encode(text), last]
-                total += sum(map(len, got))
-                ends.append(total)
-                held.append(np.concatenate(got))
-                if sum(map(len, held[-1:])) > PIECE or len(held) > 500:
-                    ids.write(np.concatenate(held).tobytes())
-                    held = []
-            if held:
-                ids.write(np.concatenate(held).tobytes())
+                held += got
+                size += sum(map(len, got))
+                ends.append(total + size // width)
+                if len(held) > 500 or size > PIECE:
+                    ids.write(b"".join(held))
+                    total, held, size = total + size // width, [], 0
+            ids.write(b"".join(held))
+            total += size // width
             off.write(np.array(ends, "<i8").tobytes())
             doc.write(pdf["doc_id"].fillna(0).to_numpy().astype("<i8").tobytes())
             docs, nulls = docs + len(pdf), nulls + int(pdf["doc_id"].isna().sum())
@@ -114,7 +115,7 @@ def _write_part(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str) -
         for f in (ids, off, doc):
             f.close()
     if docs:
-        yield pd.DataFrame({"part": [part], "path": [f"{folder}/{name}"], "docs": [docs], "nulls": [nulls], "ids": [total], "width": [enc.dtype.itemsize]})
+        yield pd.DataFrame({"part": [part], "path": [f"{folder}/{name}"], "docs": [docs], "nulls": [nulls], "ids": [total], "width": [width]})
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
