@@ -148,3 +148,62 @@ def anomaly_score(pairs: DataFrame, floor: float = 0.3) -> DataFrame:
     got = ranked.groupBy("topic").agg(F.count("*").alias("n_pairs"), F.max(F.when(F.col("rank") == 1, F.col("pair_score"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("pair_score"))).alias("s2"), F.avg(F.when(F.col("rank") > 2, F.col("pair_score"))).alias("rest"))
     score = F.when(F.col("n_pairs") == 1, F.col("s1")).when(F.col("n_pairs") == 2, F.expr("0.6 * s1 + 0.4 * s2")).otherwise(F.expr("0.5 * s1 + 0.3 * s2 + 0.2 * rest"))
     return got.select("topic", "n_pairs", F.round(score, 6).alias("score"), F.when(F.col("n_pairs") >= 5, 0.95).when(F.col("n_pairs") >= 3, 0.85).when(F.col("n_pairs") == 2, 0.75).otherwise(0.6).alias("confidence"))
+
+
+def negated(text: Column, term: str, negations: list[str], reach: int = 50) -> Column:
+    """D3: whether a negation stands in the `reach` characters before the term's first place; false without the term."""
+    at = F.instr(text, term)
+    before = F.substring(text, F.greatest(at - reach, F.lit(1)), at - F.greatest(at - reach, F.lit(1)))
+    return F.coalesce((at > 0) & F.exists(F.array(*map(F.lit, negations)), lambda w: F.contains(before, w)), F.lit(False))
+
+
+def topic_in_claim(text: Column, topic: Column, least: int = 4) -> Column:
+    """Whether the text has the whole topic or one of its words of `least` letters or more, in any case."""
+    low = F.lower(text)
+    words = F.filter(F.split(F.lower(topic), r"[^a-z0-9]+"), lambda w: F.length(w) >= least)
+    return F.coalesce(F.contains(low, F.lower(topic)) | F.exists(words, lambda w: F.contains(low, w)), F.lit(False))
+
+
+def words_between(text: Column, term: str, other: str) -> Column:
+    """Number of words from the term's first place to the other's; null unless both occur."""
+    a, b = F.instr(text, term), F.instr(text, other)
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    gap = F.size(F.split(F.substring(text, lo, hi - lo), " ")) - 1
+    return F.when((a > 0) & (b > 0), gap)
+
+
+def service_score(claims: DataFrame, words: list[str]) -> DataFrame:
+    """Per topic META density, uncited share, avoidance and indicators among PRIMARY claims, weighted .15 .20 .20 .45, with the level."""
+    meta = F.count_if(F.col("claim_type") == "META")
+    hit = (F.col("claim_type") == "PRIMARY") & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("claim_text"), w))
+    s = claims.groupBy("topic").agg(
+        F.least(2 * meta / F.count("*"), F.lit(1.0)).alias("density"),
+        F.avg((F.col("n_citations") == 0).cast("int")).alias("uncited"),
+        F.coalesce(F.try_divide(F.count_if((F.col("claim_type") == "META") & (F.col("n_citations") == 0)), meta), F.lit(0.0)).alias("avoidance"),
+        F.least(F.count_if(hit) / 5, F.lit(1.0)).alias("indicator"),
+    )
+    score = F.round(F.expr("0.15D * density + 0.2D * uncited + 0.2D * avoidance + 0.45D * indicator"), 6)
+    level = F.when(F.col("score") >= 0.75, "CRITICAL").when(F.col("score") >= 0.55, "HIGH").when(F.col("score") >= 0.35, "MODERATE").when(F.col("score") >= 0.15, "LOW").otherwise("MINIMAL")
+    return s.select("topic", *(F.round(c, 6).alias(c) for c in ("density", "uncited", "avoidance", "indicator")), score.alias("score")).withColumn("level", level)
+
+
+def internal_cartel(edges: DataFrame, group_of: DataFrame) -> DataFrame:
+    """Per group mean citations inside and outside over the nodes that make such; a cartel has 5 inside on average and over 70 %.
+
+    edges src, dst; group_of node, grp. Citations of nodes without a group are left out, those to such nodes are outside.
+    """
+    g = edges.join(group_of.withColumnsRenamed({"node": "src", "grp": "grp"}), "src").join(group_of.withColumnsRenamed({"node": "dst", "grp": "_to"}), "dst", "left")
+    inside = F.coalesce(F.col("grp") == F.col("_to"), F.lit(False))
+    per = g.groupBy("grp", "src").agg(F.count_if(inside).alias("i"), F.count_if(~inside).alias("o"))
+    avg = per.groupBy("grp").agg(F.coalesce(F.avg(F.when(F.col("i") > 0, F.col("i"))), F.lit(0.0)).alias("a"), F.coalesce(F.avg(F.when(F.col("o") > 0, F.col("o"))), F.lit(0.0)).alias("b"))
+    ratio = F.coalesce(F.try_divide("a", F.expr("a + b")), F.lit(0.0))
+    found = (F.col("a") >= 5) & (ratio > 0.7)
+    return avg.select("grp", F.round("a", 6).alias("avg_internal"), F.round("b", 6).alias("avg_external"), F.round(ratio, 6).alias("ratio"), found.alias("detected"), F.round(F.when(found, ratio).otherwise(ratio * 0.5), 6).alias("score"))
+
+
+def pattern_complexity(claims: DataFrame, by: list[str], levels: list[tuple[float, list[str]]]) -> DataFrame:
+    """Per group the score of the highest level with a keyword in any text; levels go from high to low, 0 without a match."""
+    low, score = F.lower("claim_text"), F.lit(0.0)
+    for value, words in reversed(levels):
+        score = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(float(value))).otherwise(score)
+    return claims.groupBy(*by).agg(F.max(score).alias("complexity"))

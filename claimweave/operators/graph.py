@@ -104,3 +104,88 @@ def timeline_groups(claims: DataFrame, by: str, top: int = 20) -> DataFrame:
 def timeline_histogram(claims: DataFrame, unit: str = "week") -> DataFrame:
     """V4: claims per calendar unit."""
     return claims.where("ts is not null").groupBy(F.date_trunc(unit, "ts").cast("date").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def network_size(nodes: DataFrame, label: str, edges: DataFrame) -> DataFrame:
+    """Nodes by label and edges by type: what, name, n."""
+    n = nodes.groupBy(F.col(label).cast("string").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("node"))
+    e = edges.groupBy(F.col("rel_type").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("edge"))
+    return n.unionByName(e)
+
+
+def personalized_trust(users: DataFrame, nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 2) -> DataFrame:
+    """G2 for many users in one run, before scaling: a user's own scores replace t0. users has user_id, node, score.
+
+    Propagation is linear, so the base run is done once and each user's difference to it is carried only
+    where it reaches: user_id, node, trust for the nodes within `iterations` steps of a scored one. A
+    user's other nodes have the base trust.
+    """
+    out = edges.groupBy("src").agg(F.sum(F.abs("w")).alias("total"))
+    a = edges.join(out, "src").select("src", "dst", F.try_divide("w", "total").alias("p"))
+    base = nodes.select("node", "t0", F.col("t0").alias("t"))
+    first = users.join(nodes, "node").select("user_id", "node", (F.col("score") - F.col("t0")).alias("d"))
+    delta = first
+    for _ in range(iterations):
+        got = a.join(base.select(F.col("node").alias("src"), "t"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("t")).alias("inflow"))
+        base = nodes.join(got, "node", "left").select("node", "t0", ((1 - damping) * F.col("t0") + damping * F.coalesce("inflow", F.lit(0.0))).alias("t"))
+        flow = a.join(delta.withColumnRenamed("node", "src"), "src").select("user_id", F.col("dst").alias("node"), (damping * F.col("p") * F.col("d")).alias("d"))
+        kept = first.select("user_id", "node", ((1 - damping) * F.col("d")).alias("d"))
+        delta = kept.union(flow).groupBy("user_id", "node").agg(F.sum("d").alias("d"))
+    return delta.join(base, "node").select("user_id", "node", F.round(F.col("t") + F.col("d"), 6).alias("trust"))
+
+
+def unexpected_links(edges: DataFrame, nodes: DataFrame, trusted: float = 0.6, top: int = 30) -> DataFrame:
+    """Edges between trusted nodes of other kind and other community, the `top` by the product of trusts. nodes: node, kind, community, trust."""
+    good = nodes.where(F.col("trust") > trusted)
+    side = lambda end, s: good.select(F.col("node").alias(end), *(F.col(c).alias(c + s) for c in ("kind", "community", "trust")))
+    met = edges.where("rel_type in ('RELATED_TO', 'SUPPORTS', 'CONTRADICTS')").join(side("src", "1"), "src").join(side("dst", "2"), "dst").where("kind1 <> kind2 and community1 <> community2")
+    return met.select("src", "dst", "rel_type", F.round(F.expr("trust1 * trust2"), 6).alias("strength")).orderBy(F.desc("strength"), "src", "dst").limit(top)
+
+
+def pattern_store(**patterns: tuple[DataFrame, list[str]]) -> DataFrame:
+    """Patterns of several kinds as one table: kind, a stable id, the nodes involved and the row as JSON.
+
+    Each argument is a table and the columns that name its nodes.
+    """
+    parts = []
+    for kind, (df, nodes) in sorted(patterns.items()):
+        key = F.concat_ws("|", F.lit(kind), *(F.col(c).cast("string") for c in nodes))
+        parts.append(df.select(F.lit(kind).alias("kind"), F.md5(key).alias("pattern_id"), F.array(*(F.col(c).cast("string") for c in nodes)).alias("nodes"), F.to_json(F.struct("*")).alias("pattern")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def pattern_links(store: DataFrame) -> DataFrame:
+    """Kind, pattern_id, node: one row per node of a pattern."""
+    return store.select("kind", "pattern_id", F.explode("nodes").alias("node")).distinct()
+
+
+def filter_graph(nodes: DataFrame, edges: DataFrame, min_trust: float, max_nodes: int) -> DataFrame:
+    """V1: the edges among the first max_nodes nodes: detected ones first, then by trust. nodes: node, trust, detected."""
+    best = nodes.where(F.col("trust") >= min_trust).orderBy(F.desc("detected"), F.desc("trust"), "node").limit(max_nodes).select("node")
+    return edges.join(best.withColumnRenamed("node", "src"), "src", "left_semi").join(best.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def timeline_scale(claims: DataFrame, by: list[str]) -> DataFrame:
+    """V3: per group the unit that suits its range of dates; under two dates: year."""
+    days = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 86_400_000_000
+    unit = F.when(F.count("ts") < 2, "year").when(days < 30, "day").when(days < 180, "week").when(days < 730, "month").when(days < 3650, "year").when(days < 36500, "decade").otherwise("century")
+    return claims.groupBy(*by).agg(unit.alias("unit"))
+
+
+def stance(claims: DataFrame, edges: DataFrame, anti: list[str], pro: list[str]) -> DataFrame:
+    """V5: anti or pro by the types of a node's edges (CONTRADICTS first), else by the majority of keywords, else neutral."""
+    flags = edges.groupBy(F.col("src").alias("node")).agg(F.max(F.col("rel_type") == "CONTRADICTS").alias("_a"), F.max(F.col("rel_type") == "SUPPORTS").alias("_p"))
+    n = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("claim_text"), w)))
+    by_words = F.when(n(anti) > n(pro), "anti").when(n(pro) > n(anti), "pro").otherwise("neutral")
+    return claims.join(flags, "node", "left").select("node", F.when(F.col("_a"), "anti").when(F.col("_p"), "pro").otherwise(by_words).alias("stance"))
+
+
+def related_timeline(edges: DataFrame, dated: DataFrame) -> DataFrame:
+    """V6: per node its dated neighbours, either way, by year; a missing year counts as 0. dated: node, year."""
+    e = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    met = e.join(dated.select(F.col("node").alias("dst"), F.coalesce("year", F.lit(0)).alias("year")), "dst")
+    order = W.partitionBy("src").orderBy("year", "dst")
+    return met.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), "year", F.row_number().over(order).alias("place"))

@@ -376,3 +376,6 @@ def v4(spark, sf_dir):
 @query("x3_burst_counts", f"with {EVENTS} select topic, cast(s as timestamp) as window_start, count(*) as n from claims, lateral (select unnest(generate_series(date_trunc('day', ts) - interval 13 days, date_trunc('day', ts), interval 1 day)) as s) where ts is not null group by 1, 2")
 def x3(spark, sf_dir):
     return burst_counts(event_claims(spark, sf_dir)).select("topic", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+from claimweave.plans import more  # noqa: E402, F401  adds its queries to the tables above
