@@ -125,3 +125,13 @@ def build_citations(claims: DataFrame, doc: str, seq: str, most: int = 5) -> Dat
     order = W.partitionBy(doc).orderBy(seq, "claim_id").rowsBetween(-most, -1)
     near = claims.select("claim_id", F.collect_list("claim_id").over(order).alias("before"))
     return near.select(F.col("claim_id").alias("src"), F.explode("before").alias("dst"))
+
+
+def validate_claims(raw: DataFrame, kinds: list[str], least: int = 20, floor: float = 0.5, otherwise: str = "PRIMARY") -> DataFrame:
+    """Claims of `least` characters or more and enough confidence; types in upper case, unknown or missing ones take the default.
+
+    Missing confidence counts as the floor; null texts go.
+    """
+    kind = F.upper(F.trim("claim_type"))
+    good = raw.where((F.length(F.trim("claim_text")) >= least) & (F.coalesce("confidence", F.lit(floor)) >= floor))
+    return good.withColumn("claim_type", F.when(kind.isin(kinds), kind).otherwise(otherwise)).withColumn("confidence", F.coalesce("confidence", F.lit(floor)))

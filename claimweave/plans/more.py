@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import detect, evidence, graph
+from claimweave.operators import curate, detect, evidence, graph
 from claimweave.plans.bindings import EDGES, EVENTS, RING, event_claims, part_edges, ring_edges, table
 from claimweave.plans.registry import DOC_CLAIMS, TRUST, _any, _doc_claims, _trust, query
 
@@ -67,11 +67,11 @@ def r20(spark, sf_dir):
     return got.withColumn("cites", F.array_join("cites", ",")).withColumn("cited_by", F.array_join("cited_by", ","))
 
 
-@query("r25_claim_evidence", f"""with {TRUST}, known as (select node, trust from trust where node % 3 <> 0)
+@query("r25_claim_evidence", f"""with {TRUST}, known as (select node, trust from trust where trust > 0.2)
 select dst as node, count(*) filter (rel_type = 'SUPPORTS') as n_supporting, count(*) filter (rel_type = 'CONTRADICTS') as n_contradicting, round(avg(coalesce(k.trust, 0.5)) filter (rel_type = 'SUPPORTS'), 6) as supporting_trust, round(avg(coalesce(k.trust, 0.5)) filter (rel_type = 'CONTRADICTS'), 6) as contradicting_trust
 from ring left join known k on k.node = src where rel_type in ('SUPPORTS', 'CONTRADICTS') group by 1""")
 def r25(spark, sf_dir):
-    return evidence.claim_evidence(ring_edges(spark, sf_dir), _trust(spark, sf_dir).where("node % 3 <> 0"))
+    return evidence.claim_evidence(ring_edges(spark, sf_dir), _trust(spark, sf_dir).where("trust > 0.2"))
 
 
 @query("a3_claim_type_counts", f"with {EVENTS} select topic, " + ", ".join(f"count(*) filter (claim_type = '{k}') as n_{k.lower()}" for k in KINDS) + " from claims group by 1")
@@ -140,11 +140,11 @@ def d14(spark, sf_dir):
     return detect.service_score(event_claims(spark, sf_dir), DISMISSAL)
 
 
-@query("d23_internal_cartel", f"""with {RING}, g as (select s_suppkey as node, s_nationkey % 3 as grp from supplier where s_suppkey % 5 <> 0), p as (select a.grp, src, count(*) filter (a.grp = b.grp) as i, count(*) filter (b.grp is null or a.grp <> b.grp) as o from ring join g a on a.node = src left join g b on b.node = dst group by 1, 2),
+@query("d23_internal_cartel", f"""with {RING}, g as (select s_suppkey as node, s_nationkey % 3 as grp from supplier where s_acctbal > 0), p as (select a.grp, src, count(*) filter (a.grp = b.grp) as i, count(*) filter (b.grp is null or a.grp <> b.grp) as o from ring join g a on a.node = src left join g b on b.node = dst group by 1, 2),
 v as (select grp, coalesce(avg(i) filter (i > 0), 0) as a, coalesce(avg(o) filter (o > 0), 0) as b from p group by 1), r as (select *, coalesce(a / nullif(a + b, 0), 0) as ratio, a >= 5 and coalesce(a / nullif(a + b, 0), 0) > 0.7 as detected from v)
 select grp, round(a, 6) as avg_internal, round(b, 6) as avg_external, round(ratio, 6) as ratio, detected, round(case when detected then ratio else ratio * 0.5 end, 6) as score from r""")
 def d23(spark, sf_dir):
-    groups = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").selectExpr("s_suppkey as node", "s_nationkey % 3 as grp")
+    groups = table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr("s_suppkey as node", "s_nationkey % 3 as grp")
     return detect.internal_cartel(ring_edges(spark, sf_dir), groups)
 
 
@@ -153,7 +153,7 @@ def d35(spark, sf_dir):
     return detect.pattern_complexity(event_claims(spark, sf_dir), ["topic", "source"], LEVELS)
 
 
-@query("g3_personalized_trust", f"""with {TRUST}, u as (select c_nationkey as user_id, l_suppkey as node, cast(max(l_quantity) as double) / 50 as score from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where l_suppkey % 4 = c_nationkey % 4 group by 1, 2),
+@query("g3_personalized_trust", f"""with {TRUST}, u as (select c_nationkey as user_id, l_suppkey as node, cast(max(l_quantity) as double) / 50 as score from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R' group by 1, 2),
 z as (select user_id, s_suppkey as node, coalesce(score, (s_suppkey % 10) / 10.0) as t0 from (select distinct user_id from u) cross join supplier left join u using (user_id) where u.node = s_suppkey union all select user_id, s_suppkey, (s_suppkey % 10) / 10.0 from (select distinct user_id from u) x cross join supplier where not exists (select 1 from u where u.user_id = x.user_id and u.node = s_suppkey)),
 z1 as (select z.user_id, z.node, z.t0, (1 - 0.85) * z.t0 + 0.85 * coalesce(i.f, 0) as t from z left join (select user_id, dst, sum(p * t0) as f from p join z on src = node group by 1, 2) i on i.dst = z.node and i.user_id = z.user_id),
 z2 as (select z.user_id, z.node, (1 - 0.85) * z.t0 + 0.85 * coalesce(i.f, 0) as t from z left join (select user_id, dst, sum(p * t) as f from p join z1 on src = node group by 1, 2) i on i.dst = z.node and i.user_id = z.user_id),
@@ -161,7 +161,7 @@ h1 as (select user_id, node from u union select user_id, dst from u join p on sr
 select user_id, node, round(t, 6) as trust from z2 join h2 using (user_id, node)""")
 def g3(spark, sf_dir):
     c, o, x = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    got = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(x, F.col("l_orderkey") == F.col("o_orderkey")).where("l_suppkey % 4 = c_nationkey % 4")
+    got = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(x, F.col("l_orderkey") == F.col("o_orderkey")).where("l_returnflag = 'R'")
     users = got.groupBy(F.col("c_nationkey").alias("user_id"), F.col("l_suppkey").alias("node")).agg((F.max("l_quantity").cast("double") / 50).alias("score"))
     nodes = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as node", "(s_suppkey % 10) / 10.0D as t0")
     return graph.personalized_trust(users, nodes, graph.trust_edges(ring_edges(spark, sf_dir)))
@@ -215,3 +215,18 @@ def v5(spark, sf_dir):
 def v6(spark, sf_dir):
     dated = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.year(F.min("l_shipdate")).alias("year"))
     return graph.related_timeline(ring_edges(spark, sf_dir), dated)
+
+
+@query("r14_merge_results", f"""with {EVENTS}, a as (select claim_id, confidence as s1 from claims where contains(lower(claim_text), 'click')), b as (select vec_id as claim_id, cast(label as double) / 20 as s2 from embeddings where label < 10)
+select claim_id, greatest(s1, s2) as similarity, case when s1 is null then 'semantic' when s2 is null then 'graph' else 'both' end as found_by from a full join b using (claim_id)""")
+def r14(spark, sf_dir):
+    found = event_claims(spark, sf_dir).where("contains(lower(claim_text), 'click')").selectExpr("claim_id", "confidence as similarity")
+    near = table(spark, sf_dir, "embeddings").where("label < 10").selectExpr("vec_id as claim_id", "cast(label as double) / 20 as similarity")
+    return curate.merge_results(found, near)
+
+
+@query("t12_validate_claims", f"""with {EVENTS}, r as (select claim_id, claim_text, case when claim_id % 3 = 0 then null when claim_id % 3 = 1 then lower(claim_type) else 'other' end as claim_type, case when claim_id % 7 > 0 then confidence end as confidence from claims)
+select claim_id, case when upper(claim_type) in ('META', 'PRIMARY', 'SECONDARY', 'CONTEXTUAL') then upper(claim_type) else 'PRIMARY' end as claim_type, coalesce(confidence, 0.5) as confidence from r where length(trim(claim_text)) >= 15 and coalesce(confidence, 0.5) >= 0.5""")
+def t12(spark, sf_dir):
+    raw = event_claims(spark, sf_dir).selectExpr("claim_id", "claim_text", "case when claim_id % 3 = 0 then null when claim_id % 3 = 1 then lower(claim_type) else 'other' end as claim_type", "case when claim_id % 7 > 0 then confidence end as confidence")
+    return evidence.validate_claims(raw, KINDS, 15).drop("claim_text")
