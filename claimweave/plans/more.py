@@ -71,7 +71,7 @@ def r20(spark, sf_dir):
 select dst as node, count(*) filter (rel_type = 'SUPPORTS') as n_supporting, count(*) filter (rel_type = 'CONTRADICTS') as n_contradicting, round(avg(coalesce(k.trust, 0.5)) filter (rel_type = 'SUPPORTS'), 6) as supporting_trust, round(avg(coalesce(k.trust, 0.5)) filter (rel_type = 'CONTRADICTS'), 6) as contradicting_trust
 from ring left join known k on k.node = src where rel_type in ('SUPPORTS', 'CONTRADICTS') group by 1""")
 def r25(spark, sf_dir):
-    return evidence.claim_evidence(ring_edges(spark, sf_dir), _trust(spark, sf_dir).where("trust > 0.2"))
+    return evidence.claim_evidence(ring_edges(spark, sf_dir), _trust(spark, sf_dir))
 
 
 @query("a3_claim_type_counts", f"with {EVENTS} select topic, " + ", ".join(f"count(*) filter (claim_type = '{k}') as n_{k.lower()}" for k in KINDS) + " from claims group by 1")
@@ -144,7 +144,7 @@ def d14(spark, sf_dir):
 v as (select grp, coalesce(avg(i) filter (i > 0), 0) as a, coalesce(avg(o) filter (o > 0), 0) as b from p group by 1), r as (select *, coalesce(a / nullif(a + b, 0), 0) as ratio, a >= 5 and coalesce(a / nullif(a + b, 0), 0) > 0.7 as detected from v)
 select grp, round(a, 6) as avg_internal, round(b, 6) as avg_external, round(ratio, 6) as ratio, detected, round(case when detected then ratio else ratio * 0.5 end, 6) as score from r""")
 def d23(spark, sf_dir):
-    groups = table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr("s_suppkey as node", "s_nationkey % 3 as grp")
+    groups = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as node", "s_nationkey % 3 as grp")
     return detect.internal_cartel(ring_edges(spark, sf_dir), groups)
 
 
@@ -161,7 +161,7 @@ h1 as (select user_id, node from u union select user_id, dst from u join p on sr
 select user_id, node, round(t, 6) as trust from z2 join h2 using (user_id, node)""")
 def g3(spark, sf_dir):
     c, o, x = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    got = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(x, F.col("l_orderkey") == F.col("o_orderkey")).where("l_returnflag = 'R'")
+    got = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(x, F.col("l_orderkey") == F.col("o_orderkey"))
     users = got.groupBy(F.col("c_nationkey").alias("user_id"), F.col("l_suppkey").alias("node")).agg((F.max("l_quantity").cast("double") / 50).alias("score"))
     nodes = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as node", "(s_suppkey % 10) / 10.0D as t0")
     return graph.personalized_trust(users, nodes, graph.trust_edges(ring_edges(spark, sf_dir)))

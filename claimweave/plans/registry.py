@@ -159,7 +159,7 @@ def a2(spark, sf_dir):
 @query("a5_quality_report", f"""with {EVENTS}, b as (select topic, count(*) as n, count(distinct source) as n_sources, count(*) filter (claim_type = 'META') as n_meta, count(*) filter (claim_type = 'PRIMARY') as n_primary, count(ts) as n_dated from claims where source % 3 = 0 group by 1)
 select *, n >= 5 and n_sources >= 2 as sufficient, concat_ws(',', case when n < 5 then 'few_claims' end, case when n_sources < 2 then 'few_sources' end, case when n_meta = 0 then 'no_meta' end, case when n_dated < n then 'undated' end) as warnings from b""")
 def a5(spark, sf_dir):
-    return curate.quality_report(event_claims(spark, sf_dir).where("source % 3 = 0"))
+    return curate.quality_report(event_claims(spark, sf_dir))
 
 
 @query("a6_exclude", f"with {EVENTS} select claim_id, excluded or claim_id in (select item_id from benchmark) as excluded from claims")
