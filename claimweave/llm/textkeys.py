@@ -54,11 +54,11 @@ def word_hashes(text: str | None, punctuation: bool = False) -> np.ndarray:
     table, parts, at = _PUNCT if punctuation else _SPACE, [], 0
     while len(raw) - at > _SEGMENT:  # very long texts go in segments that end between words
         gaps = np.flatnonzero(table[np.frombuffer(raw, np.uint8, _SEGMENT, at)])
-        if len(gaps):
+        if len(gaps) and gaps[-1]:
             end = at + int(gaps[-1])
-        else:
-            rest = np.flatnonzero(table[np.frombuffer(raw, np.uint8, offset=at)])
-            end = at + int(rest[0]) if len(rest) else len(raw)
+        else:  # no gap but the one that the last segment ended at: on to the next
+            rest = np.flatnonzero(table[np.frombuffer(raw, np.uint8, offset=at + 1)])
+            end = at + 1 + int(rest[0]) if len(rest) else len(raw)
         parts.append(_hashes(raw[at:end], table))
         at = end
     parts.append(_hashes(raw[at:], table))

@@ -11,3 +11,14 @@ def test_leaks_of_items_that_share_a_template(spark):
     docs = spark.createDataFrame([(i, f"{template} other{i}") for i in range(20)], "doc_id long, text string")
     got = decontam.leaks(docs, items)  # 50 shared shingles of weight 1 and two single ones: similarity 0.77 for every pair
     assert got.count() >= 0.99 * 20 * 1000 and got.where("similarity < 0.76 or similarity > 0.78").count() == 0
+
+
+def test_word_hashes_of_long_texts():
+    def plain(text):
+        words = text.split()
+        known = {w: textkeys.word_hashes(w)[0] for w in set(words)}
+        return [known[w] for w in words]
+
+    blob = "a" * 3_000_000
+    for text in (" " + blob + " b c", "x " + blob + " b c", blob, blob + " ", " " * 3_000_000 + "a", "x " * 900_000 + blob + " y", ("q" * ((1 << 20) - 1) + " ") * 3 + "z", "日本語" * 500_000 + " b " + "日本語" * 500_000):
+        assert np.array_equal(textkeys.word_hashes(text), np.array(plain(text), np.uint64))
