@@ -1,7 +1,8 @@
 """License scans (operator 1): sentence-rule recognition. DataFrame functions only.
 
 Texts are cut into sentences, normalised to lower-case letters and digits, and looked up among known
-license sentences. A text's identifiers, in order, are then matched against license rules, each an
+license sentences. These are cut in the same way: one that has an end inside (as in "v. 2.0.") is found
+where all its pieces follow one another. A text's identifiers, in order, are then matched against license rules, each an
 ordered sequence of identifiers that must follow one another. Sentences that aren't known lie between
 identifiers without harm; a known sentence of another kind parts a sequence. A match that lies inside
 a longer one of the same text is left out.
@@ -25,7 +26,8 @@ SENTENCES = {
     "mit-notice-kept": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
     "apache2-notice": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0"],
+    "apache2-run-on": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "apache2-as-is": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License, version 3."],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
@@ -37,13 +39,14 @@ SENTENCES = {
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
-    "mpl2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v.2.0."],
+    "mpl2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v.2.0."],
 }
 RULES = {
     "MIT/full": ("MIT", ["mit-grant", "mit-notice-kept", "as-is"]),
     "MIT/titled": ("MIT", ["mit-title", "mit-grant", "mit-notice-kept", "as-is"]),
     "MIT/notice": ("MIT", ["mit-notice"]),
     "Apache-2.0/header": ("Apache-2.0", ["apache2-notice", "apache2-copy", "apache2-as-is"]),
+    "Apache-2.0/header-run-on": ("Apache-2.0", ["apache2-notice", "apache2-run-on"]),
     "Apache-2.0/notice": ("Apache-2.0", ["apache2-notice"]),
     "GPL-3.0/notice": ("GPL-3.0-only", ["gpl3-notice"]),
     "GPL-3.0/header": ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty"]),
@@ -55,6 +58,8 @@ RULES = {
     "MPL-2.0/notice": ("MPL-2.0", ["mpl2-notice"]),
 }
 _CUES = ["licens", "licenc", "redistribut", "warrant", "permission", "copyright notice", "software"]  #: every known sentence has one
+#: Ends of sentences: . ! ? or : before white space, and lines with nothing but white space or comment marks.
+_ENDS = r"(?<=[.!?:])\s+|\n[ \t\r#*/;%-]*\n\s*"
 
 
 def normal(text: str) -> str:
@@ -62,21 +67,26 @@ def normal(text: str) -> str:
     return re.sub(r"[^\w]+", " ", text.lower(), flags=re.ASCII).strip()
 
 
+def pieces_of(text: str) -> tuple[str, ...]:
+    """A known sentence as scan cuts it."""
+    return tuple(p for p in map(normal, re.split(_ENDS, text, flags=re.ASCII)) if p)
+
+
 def known_sentences(spark: SparkSession, sentences: dict[str, list[str]] | None = None) -> DataFrame:
-    """(sid, key): the known sentences as they are looked up."""
-    rows = set()
+    """(sid, wording, piece, pieces, key): the pieces of the known sentences as they are looked up."""
+    rows = []
     for sid, texts in (sentences or SENTENCES).items():
-        for text in texts:
-            rows.add((sid, normal(text)))
-    values = ", ".join(f"('{s}', '{k}')" for s, k in sorted(rows))
-    return spark.sql(f"select sid, key from values {values} as t(sid, key)")
+        for wording, cut in enumerate(sorted({pieces_of(x) for x in texts})):
+            rows += [(sid, wording, piece, len(cut), key) for piece, key in enumerate(cut)]
+    values = ", ".join(f"('{s}', {v}, {p}, {n}, '{k}')" for s, v, p, n, k in rows)
+    return spark.sql(f"select * from values {values} as t(sid, wording, piece, pieces, key)")
 
 
 def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules: dict | None = None) -> DataFrame:
     """Documents (doc_id, text, ...) -> doc_id, license, rule, n_sentences, matches: a row per document and license.
 
     rule is the longest rule matched, n_sentences its length, matches how often rules of the license
-    match. Sentences end at . ! ? or : before white space and at empty lines. Every text
+    match. Sentences end at . ! ? or : before white space and at lines that are empty or hold comment marks only. Every text
     is cut a second time with all line ends as sentence ends, and the cut that finds more counts.
     Null and empty texts match nothing; rows with one doc_id count as one document; null doc_ids too.
     Other columns are ignored; an empty table gives no rows.
@@ -88,12 +98,14 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
         cues = [""]  # sentences of the caller's own: every text is cut
     cued = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(cues)))
     # two cuts of the text: by sentence ends, lines joined; and by lines as well
-    marked = r"regexp_replace(text, '(?<=[.!?:])\\s+|\\n[ \\t\\r]*\\n\\s*', '\u0001')"
-    pieces = lambda t: f"filter(transform(split({t}, '\\u0001'), (s, i) -> struct(i as i, trim(regexp_replace(lower(s), '[^a-z0-9_]+', ' ')) as key)), x -> x.key <> '')"
+    marked = f"regexp_replace(text, '{_ENDS}', '\\u0001')".replace("\\", "\\\\").replace("\\\\u0001", "\\u0001")
+    pieces = lambda t: f"transform(filter(transform(split({t}, '\\u0001'), s -> trim(regexp_replace(lower(s), '[^a-z0-9_]+', ' '))), k -> k <> ''), (k, i) -> struct(i as i, k as key))"
     lined = r"regexp_replace(text, '(?<=[.!?:])\\s+|\\n\\s*', '\u0001')"
     ways = f"transform({pieces(lined)}, x -> struct(1 as way, x.i as i, x.key as key)), transform({pieces(marked)}, x -> struct(2 as way, x.i as i, x.key as key))"
     cut = cued.selectExpr("doc_id", f"explode(concat({ways})) as x").select("doc_id", "x.*")
-    hits = written(cut.join(known, "key").select("doc_id", "way", "i", "sid").distinct(), "hits")
+    found = cut.join(known, "key").select("doc_id", "way", (F.col("i") - F.col("piece")).alias("i"), "sid", "wording", "piece", "pieces").distinct()
+    whole = found.groupBy("doc_id", "way", "i", "sid", "wording", "pieces").agg(F.count("*").alias("n")).where("n = pieces")
+    hits = written(whole.select("doc_id", "way", "i", "sid").distinct(), "hits")
     hits = hits.withColumn("at", F.row_number().over(W.partitionBy("doc_id", "way").orderBy("i", "sid")) - 1)
     flat = ", ".join(f"('{rule}', '{lic}', {k}, {len(ids)}, '{sid}')" for rule, (lic, ids) in rules.items() for k, sid in enumerate(ids))
     steps = F.broadcast(spark.sql(f"select * from values {flat} as t(rule, license, step, steps, sid)"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from claimweave.llm import decontam, textkeys
+from claimweave.llm import decontam, licenses, textkeys
 
 
 def test_leaks_of_items_that_share_a_template(spark):
@@ -22,3 +22,67 @@ def test_word_hashes_of_long_texts():
     blob = "a" * 3_000_000
     for text in (" " + blob + " b c", "x " + blob + " b c", blob, blob + " ", " " * 3_000_000 + "a", "x " * 900_000 + blob + " y", ("q" * ((1 << 20) - 1) + " ") * 3 + "z", "日本語" * 500_000 + " b " + "日本語" * 500_000):
         assert np.array_equal(textkeys.word_hashes(text), np.array(plain(text), np.uint64))
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_license_headers_as_they_are_written(spark):
+    want = {GPL: {"GPL-3.0/header"}, MPL: {"MPL-2.0/notice"}, APACHE: {"Apache-2.0/header", "Apache-2.0/header-run-on"}, BSD: {"BSD-3-Clause/full"}}
+    forms = [
+        lambda t: "Copyright 2020 Someone\n\n" + t + "\n\ncode()",
+        lambda t: "\n".join(("# " + x).rstrip() for x in t.split("\n")) + "\nimport x\n",
+        lambda t: "/*\n" + "\n".join((" * " + x).rstrip() for x in t.split("\n")) + "\n */\nint x;\n",
+        lambda t: "\r\n".join(("// " + x).rstrip() for x in t.split("\n")),
+        lambda t: " ".join(t.split()),
+    ]
+    cases = [(f(t), rules) for t, rules in want.items() for f in forms]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.rule)
+    assert all(len(got.get(i, [])) == 1 and got[i][0] in rules for i, (_, rules) in enumerate(cases)), got
+
+
+def test_a_piece_alone_is_no_sentence(spark):
+    mit = [licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-notice-kept", "as-is")]
+    docs = spark.createDataFrame([(1, "\n\n".join([mit[0], "2.0.", *mit[1:]])), (2, "This program is free software: take it.")], "doc_id long, text string")
+    assert [(r.doc_id, r.rule, r.n_sentences) for r in licenses.scan(docs).collect()] == [(1, "MIT/full", 3)]
