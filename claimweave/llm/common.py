@@ -52,6 +52,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_id() -> list[F.Column]:
+    """128 bits that stand for a row's text, as two longs x1 and x2."""
+    return [F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2")]
+
+
 def words_col(text: str | F.Column) -> F.Column:
     """array<string> of the words of a text; null text gives an empty array."""
     c = F.col(text) if isinstance(text, str) else text

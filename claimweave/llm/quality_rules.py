@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import SPACES, written
+from claimweave.llm.common import SPACES, text_id, written
 
 RISK = 0.05
 LEVEL = 0.05
@@ -101,10 +101,10 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
 
 def kept_only(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The rows of docs that pass, with all their columns: the chosen cutoffs are applied to each row's own counts."""
-    stats = written(base_counts(docs.select("doc_id", F.coalesce("lang", F.lit("-")).alias("stratum"), "text")), "counts")
+    stats = written(base_counts(docs.select("doc_id", F.coalesce("lang", F.lit("-")).alias("stratum"), *text_id(), "text")), "counts")
     limits = cutoffs(stats, labels, risk, level).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
     hit = F.greatest(F.lit(False), *(F.coalesce(F.expr(f"{e} > cut_{r}"), F.lit(False)) for r, (e, _) in RULES.items()))
-    bad = written(stats.join(limits, "stratum", "left").where(F.col("base_failed") | hit).select(F.col("doc_id").alias("bad_id"), "stratum", "word_chars", "n_words").distinct(), "rejected")
-    chars = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", ""))
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (chars == F.col("word_chars")) & (F.coalesce("lang", F.lit("-")) == F.col("stratum"))
+    bad = written(stats.join(limits, "stratum", "left").where(F.col("base_failed") | hit).select("stratum", F.col("x1").alias("bad1"), F.col("x2").alias("bad2")).distinct(), "rejected")
+    x1, x2 = text_id()
+    same = (x1 == F.col("bad1")) & (x2 == F.col("bad2")) & (F.coalesce("lang", F.lit("-")) == F.col("stratum"))  # whether a row goes hangs on its text and language alone
     return docs.join(bad, same, "left_anti")

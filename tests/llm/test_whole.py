@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from claimweave.llm import decontam, licenses, textkeys
+from claimweave.llm import decontam, licenses, ngram_join, quality_rules, textkeys
 
 
 def test_leaks_of_items_that_share_a_template(spark):
@@ -86,3 +86,30 @@ def test_a_piece_alone_is_no_sentence(spark):
     mit = [licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-notice-kept", "as-is")]
     docs = spark.createDataFrame([(1, "\n\n".join([mit[0], "2.0.", *mit[1:]])), (2, "This program is free software: take it.")], "doc_id long, text string")
     assert [(r.doc_id, r.rule, r.n_sentences) for r in licenses.scan(docs).collect()] == [(1, "MIT/full", 3)]
+
+
+ROWS = "doc_id long, text string, lang string"
+
+
+def spell(seed, n):
+    return " ".join(f"{seed}{i:04d}" for i in range(n))
+
+
+def test_stages_keep_clean_rows_of_null_and_repeated_ids(spark):
+    clean = [(i, spell(s, 60), "en") for i, s in ((None, "a"), (None, "b"), (7, "c"), (7, "d"), (None, "e"))]
+    poor = [(i, " ".join(["p0001 p0002 p0003 p0004 p0005"] * 12), "en") for i in (None, 7)]  # same id, language and characters
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    docs = spark.createDataFrame(clean + poor + clean[:1], ROWS)
+    assert sorted(map(str, quality_rules.kept_only(docs, labels).collect())) == sorted(map(str, spark.createDataFrame(clean + clean[:1], ROWS).collect()))
+
+    near = [(3, clean[0][1] + " z", "en"), (None, clean[1][1] + " z", "en"), (None, "", "en"), (None, None, "en"), (7, " ", "de")]
+    single = ngram_join.one_per_component(spark.createDataFrame(clean + near + clean, ROWS)).collect()
+    got = sorted(str(tuple(r)) for r in single)
+    either = {str(clean[1]), str(near[1])}  # both without an id
+    assert len(got) == 8 and len(either & set(got)) == 1
+    assert sorted(set(got) - either) == sorted(map(str, [near[0], *clean[2:], *near[2:]]))
+
+    item = spark.createDataFrame([(1, spell("q", 30))], "item_id long, text string")
+    leaky = [(i, spell("r", 20) + " " + spell("q", 30) + " " + spell("t", 20), "en") for i in (None, 7)]
+    left = decontam.without_leaks(spark.createDataFrame(clean + leaky + near[2:], ROWS), item).collect()
+    assert sorted(str(tuple(r)) for r in left) == sorted(map(str, clean + near[2:]))
