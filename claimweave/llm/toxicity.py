@@ -99,6 +99,23 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.withColumn("score", of("text")).withColumn("predicted", F.expr("if(score >= 0.5, 1, 0)"))
 
 
+def hash_bound(known: DataFrame, most_rows: int) -> int:
+    """The bound under which the most_rows smallest hashes o of known lie; known has more rows than that.
+
+    Found on counts of 4096 ranges, then of 4096 parts of the range that the bound is in, down to single hashes.
+    """
+    room, within, shift = most_rows, known, 52
+    while True:
+        steps = within.groupBy(F.shiftright("o", shift).alias("b")).agg(F.count("*").alias("n")).collect()
+        for r in sorted(steps, key=lambda r: r.b):
+            if r["n"] > room:
+                break
+            room -= r["n"]
+        if not room or not shift:
+            return r.b << shift
+        within, shift = known.where(F.shiftright("o", shift) == r.b), max(0, shift - 12)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out, most_rows: int = MOST_ROWS) -> DataFrame:
     """Documents (doc_id, text, ...) and labels (doc_id, toxic) -> doc_id, held_out, score, predicted.
 
@@ -111,14 +128,9 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, most_rows: int = MOST
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"), F.xxhash64("doc_id").alias("o"))
     known = known.where(~F.coalesce(held_out, F.lit(False)))
     total = known.count()
-    if total > most_rows:  # the rows with the smallest hashes, up to the bound, found on counts of 4096 ranges
-        steps = known.groupBy(F.shiftright("o", 52).alias("b")).agg(F.count("*").alias("n")).collect()
-        room, least = most_rows, -2049
-        for r in sorted(steps, key=lambda r: r.b):
-            if r["n"] > room:
-                break
-            room, least = room - r["n"], r.b
-        known, rows_in = known.where(F.shiftright("o", 52) <= least), rows.where(F.shiftright(F.xxhash64("doc_id"), 52) <= least)
+    if total > most_rows:
+        end = hash_bound(known, most_rows)
+        known, rows_in = known.where(F.col("o") < end), rows.where(F.xxhash64("doc_id") < end)
     else:
         rows_in = rows
     weights = fit(rows_in.where("not held_out").join(known.select("doc_id", "label"), "doc_id"), most_rows)

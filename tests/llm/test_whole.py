@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from claimweave.llm import decontam, licenses, ngram_join, quality_rules, textkeys
+from pyspark.sql import functions as F
+
+from claimweave.llm import decontam, licenses, ngram_join, quality_rules, textkeys, toxicity
 
 
 def test_leaks_of_items_that_share_a_template(spark):
@@ -113,3 +115,16 @@ def test_stages_keep_clean_rows_of_null_and_repeated_ids(spark):
     leaky = [(i, spell("r", 20) + " " + spell("q", 30) + " " + spell("t", 20), "en") for i in (None, 7)]
     left = decontam.without_leaks(spark.createDataFrame(clean + leaky + near[2:], ROWS), item).collect()
     assert sorted(str(tuple(r)) for r in left) == sorted(map(str, clean + near[2:]))
+
+
+def test_toxicity_trains_when_the_first_hash_range_overflows(spark):
+    first = F.shiftright(F.xxhash64("id"), 52) == -2048  # the first of 4096 ranges
+    ids = [r.id for r in spark.range(1_000_000).where(first).limit(160).collect()]
+    docs = spark.createDataFrame([(i, spell("w", 40) + (" idiot scum" if k % 2 else " fine day")) for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    known = labels.select(F.xxhash64("doc_id").alias("o"))
+    hashes = sorted(r.o for r in known.collect())
+    for most in (1, 40, 120, 159):
+        assert hashes[most - 1] < toxicity.hash_bound(known, most) <= hashes[most]
+    got = toxicity.classify(docs, labels, F.lit(False), most_rows=120).collect()
+    assert sum(r.predicted == ids.index(r.doc_id) % 2 for r in got) > 150
