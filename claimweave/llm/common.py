@@ -1,4 +1,4 @@
-"""Shared helpers: tables, the shared folder, lineage cuts and bounded sketches."""
+"""Shared helpers: tables, the shared folder, lineage cuts, exact ids in Python tasks and bit tables of fixed size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +41,24 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, which a cluster must name."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="claimweave-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession, label)
+    """Cuts the lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation.
+
+    The table is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_id() -> list[F.Column]:
@@ -57,17 +66,38 @@ def text_id() -> list[F.Column]:
     return [F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2")]
 
 
-def words_col(text: str | F.Column) -> F.Column:
-    """array<string> of the words of a text; null text gives an empty array."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACES), lambda w: w != "")
+def whole(name: str) -> list[F.Column]:
+    """A nullable long as two columns for Python tasks: its value, 0 for null, and name_null. So no batch turns it into floats."""
+    c = F.col(name)
+    return [F.coalesce(c.cast("long"), F.lit(0)).alias(name), c.isNull().alias(f"{name}_null")]
 
 
-def small_enough(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most limit rows; reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
+def nulled(name: str) -> F.Column:
+    """The nullable long that whole() parted."""
+    return F.when(~F.col(f"{name}_null"), F.col(name)).alias(name)
 
 
-def hinted(df: DataFrame, limit: int) -> DataFrame:
-    """A broadcast hint only when df is counted to be small; otherwise the planner shuffles."""
-    return F.broadcast(df) if small_enough(df, limit) else df
+def may_be_among(spark: SparkSession, keys: DataFrame, bits: int = 24):
+    """A function of a long column: whether the value may be among keys (one long column).
+
+    A table of 2**bits bits is broadcast, 2 MB at any size of keys; what it lets through needs an exact join.
+    """
+    name = keys.columns[0]
+    spots = keys.select(F.explode(F.array(name, F.shiftrightunsigned(name, 32))).alias("x")).select(F.expr(f"x & {(1 << bits) - 1}").alias("x"))
+    words = spots.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    got = words.toArrow().to_pandas()
+    table[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_be(values: pd.Series) -> pd.Series:
+        U = np.uint64
+        known, k = np.frombuffer(shared.value, U), values.to_numpy(np.int64).astype(U)
+        found = np.ones(len(k), bool)
+        for x in (k, k >> U(32)):
+            x = x & U((1 << bits) - 1)
+            found &= (known[(x >> U(6)).astype(np.int64)] >> (x & U(63))) & U(1) == 1
+        return pd.Series(found)
+
+    return may_be

@@ -10,68 +10,116 @@ before it, is a prefix sum over the part totals.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from claimweave.llm.common import ready, shared_dir, written
+from claimweave.llm.common import ready, shared_dir, whole, written
 
 END_ID = 1
-MEMO_MOST = 500_000  #: encoded chunks a worker remembers
+MEMO_MOST = 500_000  #: encoded chunks, and encoded pieces, that a worker remembers
+LONG = 64  #: characters of the longest chunk that is remembered
 PIECE = 1 << 22  #: chunks encoded, and bytes of ids held, at a time
 _encoders: dict[str, tuple] = {}
 
+#: Characters whose pieces are found here, not by the library: printable ones of the Latin blocks that need no
+#: normalising but lower-casing, each to one character. An encoder checks all of them against the library first.
+_PLAIN = "".join(chr(c) for c in range(0x20, 0x250) if chr(c).isprintable() and c != 0x130)
+
+
+class _Memo(dict):
+    """Makes what is missing and remembers it while there is room; what is known stays."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.make(key)
+        if len(self) < MEMO_MOST and len(key) <= LONG:
+            self[key] = got
+        return got
+
 
 class Encoder:
     """Encodes texts with a tokenizers file. Texts are cut at spaces and line ends, which no token of the
-    file may span, and each different chunk is encoded once by the library; check() proves the cut on samples."""
+    file may span, chunks into the pieces that the file's own pre-tokenizer makes, and each different piece
+    is encoded once by its model. Pieces of plain Latin chunks are found by one pattern. Both short cuts are held
+    against the library on sample texts when the file is read, and left out if it does otherwise."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cuts = self._may_cut()
-
-    def _may_cut(self) -> bool:
-        samples = ["It's a Test,  of\n\ncuts: don't 12 ß ñ!\tx", " lead and tail ", "a\n", "e ́ x y <|endoftext|> z", "I'LL we've\r\n'd"]
-        direct = [e.ids for e in self.tokenizer.encode_batch(samples, add_special_tokens=False)]
-        parts = [[i for c in s.replace("\n", " ").split(" ") if c for i in self.tokenizer.encode(c, add_special_tokens=False).ids] for s in samples]
-        return direct == parts
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(added) or "(?!)").search
+        self.splitter, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.plain = re.compile("[" + "".join(map(re.escape, _PLAIN)) + "]*").fullmatch
+        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        for self.cuts, self.pattern in ((True, True), (True, False), (False, False)):
+            self.pieces, self.chunks = _Memo(self._piece), _Memo(self._chunk)
+            if not self.cuts or self.splitter and self._as_library():
+                break
+
+    def _as_library(self) -> bool:
+        samples = ["It's a Test,  of\n\ncuts: don't 12 ß ñ!\tx", " lead and tail ", "a\n", "e ́ x y <|endoftext|> z", "I'LL we've\r\n'd", "日本 가é x\x85y"]
+        samples += [_PLAIN, " ".join(_PLAIN), *(f"a{c}{c}1'{c}S" for c in _PLAIN)]
+        return [e.ids for e in self.tokenizer.encode_batch(samples, add_special_tokens=False)] == [np.frombuffer(b"".join(self.encode(s)), self.dtype).tolist() for s in samples]
+
+    def _piece(self, piece: str) -> bytes:
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        ascii_ = chunk.isascii() and chunk.isprintable()
+        plain = self.pattern and (ascii_ or self.plain(chunk) is not None)
+        if plain and chunk.isalpha():
+            found = [chunk.lower()]
+        elif self.special(chunk):
+            return self._whole(chunk)
+        elif plain:
+            found = self.find(chunk.lower())
+        else:
+            found = [p for p, _ in self.splitter.pre_tokenize_str(self.normalize(chunk))]
+        if plain and not ascii_:
+            found = [p.encode().decode("latin-1").translate(_BYTE_NAMES) for p in found]
+        return b"".join(map(self.pieces.__getitem__, found))
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> list[bytes]:
         """The ids of a text as bytes, in pieces."""
         if not text:
             return []
         if not self.cuts:
-            return [self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)]
-        out: list[bytes] = []
+            return [self._whole(text)]
         chunks = text.replace("\n", " ").split(" ")
-        for at in range(0, len(chunks), PIECE):
-            some = chunks[at : at + PIECE]
-            new = set(some).difference(self.memo)
-            if new and len(self.memo) + len(new) > MEMO_MOST:
-                self.memo.clear()
-                new = set(some)
-            if new:
-                made = list(new)
-                for c, e in zip(made, self.tokenizer.encode_batch_fast(made, add_special_tokens=False), strict=True):
-                    self.memo[c] = self._bytes(e.ids)
-            out.append(b"".join(map(self.memo.__getitem__, some)))
-        return out
+        return [b"".join(map(self.chunks.__getitem__, chunks[at : at + PIECE])) for at in range(0, len(chunks), PIECE)]
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in byte-level pieces: itself if visible, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {**{b: chr(b) for b in seen}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
+_BYTE_NAMES = _byte_names()
 
 
 def encoder(path: str) -> Encoder:
@@ -109,8 +157,8 @@ def _write_part(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str) -
             ids.write(b"".join(held))
             total += size // width
             off.write(np.array(ends, "<i8").tobytes())
-            doc.write(pdf["doc_id"].fillna(0).to_numpy().astype("<i8").tobytes())
-            docs, nulls = docs + len(pdf), nulls + int(pdf["doc_id"].isna().sum())
+            doc.write(pdf["doc_id"].to_numpy().astype("<i8").tobytes())
+            docs, nulls = docs + len(pdf), nulls + int(pdf["doc_id_null"].sum())
     finally:
         for f in (ids, off, doc):
             f.close()
@@ -126,7 +174,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None) ->
     spark = docs.sparkSession
     ready(spark)
     folder = folder or shared_dir(spark, "tokens")
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(*whole("doc_id"), "text")
     parts = dealt.mapInPandas(lambda it: _write_part(it, folder, vocabulary), "part int, path string, docs long, nulls long, ids long, width int")
     parts = written(parts, "parts")  # a row per part: read again, never written again
     order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
