@@ -21,7 +21,8 @@ from claimweave.llm.common import ready, written
 
 LENGTH = 300
 FLUSH = 200_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 20  #: characters that are counted at a time, or the longest word
+MOST_LANGUAGES = 2_000  #: profiles sent to every task: 300 entries of 24 bytes each; more languages are refused
 _letters: list[np.ndarray] = []
 
 
@@ -32,12 +33,31 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
+def _segments(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of a lower-cased text and whether each is a letter, in segments that end where a word ends."""
+    at = 0
+    while at < len(text):
+        step = SEGMENT
+        while True:
+            raw = text[at : at + step]
+            points = np.frombuffer(raw.lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+            own = _is_letter()[points]
+            if at + step >= len(text):
+                yield points, own
+                return
+            last = next((k for k in range(len(raw) - 1, -1, -1) if not raw[k].isalpha()), -1)
+            if last >= 0:
+                break
+            step *= 2  # one word fills the segment
+        points = np.frombuffer(raw[: last + 1].lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        yield points, _is_letter()[points]
+        at += last + 1
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a whole text as numbers, in order, and their counts; none without letters."""
     codes, counts = [], []
-    for at in range(0, len(text or ""), SEGMENT):  # n-grams that span segments of a million characters don't count
-        points = np.frombuffer(text[at : at + SEGMENT].lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-        own = _is_letter()[points]
+    for points, own in _segments(text or ""):
         points = np.where(own, points, 32)
         points = np.concatenate(([32], points, [32]))
         points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
@@ -85,39 +105,43 @@ def learn(labelled: DataFrame, length: int = LENGTH) -> DataFrame:
     ready(labelled.sparkSession)
     counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInPandas(_counted, "lang string, gram long, n long")
     sums = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return sums.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).where(F.col("rank") < length).select("lang", "gram", "rank")
+    return sums.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= length).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 def predict(docs: DataFrame, profiles: DataFrame, length: int = LENGTH) -> DataFrame:
     """Adds lang_pred and score to docs, whose text alone is looked at.
 
-    Text that is null or has no letter, or no profile at all: `und`, score 0. Of languages at equal
-    distance the first by code point. score is 1 less the distance over the largest possible one.
+    Text that is null or has no letter, or no profile at all: `und`, score 0. Of n-grams with equal counts the
+    smaller by code points ranks first, of languages at equal distance the first by code point. score is 1 less the distance over the largest possible one.
     """
     spark = docs.sparkSession
     ready(spark)
-    rows = profiles.collect()  # length rows for each language
+    rows = profiles.limit(MOST_LANGUAGES * length + 1).collect()  # length rows for each language
     langs = sorted({r.lang for r in rows}, key=lambda x: x.encode())
-    every = np.unique(np.array([r.gram for r in rows], np.int64))
-    ranks = np.full((len(every) + 1, max(1, len(langs))), -1, np.int32)
-    for r in rows:
-        ranks[np.searchsorted(every, r.gram), langs.index(r.lang)] = r["rank"]
-    shared = spark.sparkContext.broadcast((json.dumps(langs), every.tobytes(), ranks.tobytes()))
+    if len(langs) > MOST_LANGUAGES or len(rows) > MOST_LANGUAGES * length:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    place = {lang: k for k, lang in enumerate(langs)}
+    known = np.array(sorted((r.gram, place[r.lang], r["rank"]) for r in rows), np.int64).reshape(-1, 3)
+    shared = spark.sparkContext.broadcast((json.dumps(langs), known.tobytes()))
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        names, known = json.loads(shared.value[0]), np.frombuffer(shared.value[1], np.int64)
-        table = np.frombuffer(shared.value[2], np.int32).reshape(len(known) + 1, -1)
+        names, table = json.loads(shared.value[0]), np.frombuffer(shared.value[1], np.int64).reshape(-1, 3)
+        every, start = np.unique(table[:, 0], return_index=True)
+        many = np.diff(np.append(start, len(table)))
         out = []
         for text in texts:
             own = profile(*grams(text), length)
             if not len(own) or not names:
                 out.append(("und", 0.0))
                 continue
-            at = np.searchsorted(known, own)
-            at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != own)] = len(known)
-            theirs = table[at]
-            away = np.where(theirs < 0, length, np.abs(theirs - np.arange(len(own), dtype=np.int32)[:, None])).sum(axis=0)
+            at = np.minimum(np.searchsorted(every, own), len(every) - 1)
+            mine = np.flatnonzero(every[at] == own)  # the text's n-grams that some language has
+            n = many[at[mine]]
+            rank = np.repeat(mine, n)
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at[mine]], n)
+            nearer = length - np.abs(table[entry, 2] - rank)
+            away = length * len(own) - np.bincount(table[entry, 1], nearer, len(names))
             best = int(np.argmin(away))
             out.append((names[best], 1 - float(away[best]) / (length * len(own))))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
