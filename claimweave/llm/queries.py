@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,10 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_license_scan, op2_line_dedup, op3_warc, op4_language_id, op5_toxicity, op6_quality_rules, op7_mixing, op8_token_files, op9_decontamination, op10_ngram_jaccard]
-    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in own}
-    if importlib.util.find_spec("corpus_pipeline"):
-        found["pipeline"] = pipeline
-    return found
+    return {f.__name__: f for f in [*own, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
