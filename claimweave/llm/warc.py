@@ -19,12 +19,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import ready, shared_dir, written
+from claimweave.llm.common import ready, shared_dir, whole, written
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 8 << 20  #: bytes of a range
 ROLL = 64 << 20  #: bytes after which a writing task starts another archive
 STEP = 1 << 18
+MOST_TASKS = 20_000  #: reading tasks; more ranges than that share them
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -67,13 +68,13 @@ def _write(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFram
     fs.create_dir(root, recursive=True)
     out, name, size, made = None, "", 0, []
     for pdf in batches:
-        for page, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
+        ids = zip(*(pdf[c].tolist() for c in ("page_id", "page_id_null", "refers_to", "refers_to_null")), strict=True)
+        for (page, nameless, refers, first), url, html in zip(ids, pdf["url"], pdf["html"], strict=True):
             if out is None:
                 name, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
             payload = (html or "").encode("utf-8", "replace")
-            again = not pd.isna(refers)
-            data = member("revisit" if again else "response", None if pd.isna(page) else int(page), url, payload, payload_digest(payload), int(refers) if again else None)
+            data = member("response" if first else "revisit", None if nameless else page, url, payload, payload_digest(payload), None if first else refers)
             out.write(data)
             size += len(data)
             if size >= ROLL:
@@ -92,7 +93,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Of pages with equal payloads the one with the smallest page_id is a response, the others revisit it.
     A null html is an empty payload; rows with one page_id and payload are written alike; a null page_id
-    revisits a numbered page of its payload if there is one. Other columns are ignored.
+    revisits a numbered page of its payload if there is one. Ids are exact over all 64 bits. Other columns are
+    ignored; an empty table gives no archives.
     """
     spark = pages.sparkSession
     ready(spark)
@@ -102,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     again = keyed.join(first, "digest").where("not (page_id <=> first_id)").selectExpr("page_id as again_id", "digest as again_digest", "first_id as refers_to").distinct()
     again = written(again, "revisits")
     full = pages.select("page_id", *(["url"] if "url" in pages.columns else [F.lit(None).cast("string").alias("url")]), "html").withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    rows = full.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "html", "refers_to")
+    rows = full.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select(*whole("page_id"), "url", "html", *whole("refers_to"))
     return written(rows.mapInPandas(lambda it: _write(it, folder), "path string, bytes long"), "archives")
 
 
@@ -183,19 +185,22 @@ PIECE = 16 << 20
 
 
 def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+    whole_ids = ("page_id", "refers_to")  # never by way of floats
+    return pd.DataFrame({c: pd.array(v, dtype="Int64") if c in whole_ids else list(v) for c, v in zip(columns, zip(*rows, strict=True), strict=True)})
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT, payloads: bool = True) -> DataFrame:
     """Records of archives (path, bytes): page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
     payload_bytes is the length that the HTTP header states, which for a response is checked, with the
-    digest, against the payload read; a revisit's payload is null.
+    digest, against the payload read; a revisit's payload is null. Repeated records are all given; a record
+    without an id has a null page_id. Ranges are dealt by number, so that small ones don't end in one task.
     """
     ready(spark)
     ranges = archives.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split}L)")).alias("start")).withColumn("end", F.expr(f"least(start + {split}L, bytes)"))
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
-    return ranges.repartition("path", "start").mapInPandas(lambda it: _read(it, payloads), schema)
+    tasks = max(1, min(MOST_TASKS, ranges.count()))
+    return ranges.repartition(tasks, "path", "start").mapInPandas(lambda it: _read(it, payloads), schema)
 
 
 def archived(pages: DataFrame, split: int = SPLIT, folder: str | None = None) -> DataFrame:
