@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
 
-HEADLINE = ["t1_chunk_words", "t8_indicator_claims", "r3_search_relevance", "r7_search_vector", "a5_quality_report", "d1_indicators", "d11_suppression_score", "d20_temporal_burst", "d21_language_average", "d26_coordination_score", "d38_anomaly_score", "g2_trust_propagation", "g7_cooccurrence", "g9_temporal_sequences", "g13_cascades"]
+HEADLINE = ["t1_chunk_words", "t8_indicator_claims", "r3_search_relevance", "r7_search_vector", "a5_quality_report", "d1_indicators", "d11_suppression_score", "d20_temporal_burst", "d21_language_similarity", "d26_coordination_score", "d38_anomaly_score", "g2_trust_propagation", "g7_cooccurrence", "g9_temporal_sequences", "g13_cascades"]
 
 
 def main() -> None:

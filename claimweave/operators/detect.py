@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from claimweave.functions.scoring import goldfinger, haversine_km, ladder, weighted_mean
+from claimweave.functions.vectors import pair_stats
 
 DAY_US = 86_400_000_000
 
@@ -15,10 +16,8 @@ def indicators(claims: DataFrame, lexicon: list[tuple[str, list[str], list[str]]
     """Claims (claim_id, topic, claim_text) that match a category: the first category in order whose
     include terms match and whose exclude terms do not, with its first matching term."""
     text = F.lower("claim_text")
-    term = None
-    category = None
+    term = category = None
     for name, include, veto in lexicon:
-        first = F.element_at(F.filter(F.array(*map(F.lit, include)), lambda w: F.contains(text, w)), 1) if include else F.lit(None)
         first = F.try_element_at(F.filter(F.array(*map(F.lit, include)), lambda w: F.contains(text, w)), F.lit(1))
         out = F.exists(F.array(*map(F.lit, veto)), lambda w: F.contains(text, w)) if veto else F.lit(False)
         hit = F.when(~out, first)
@@ -56,17 +55,46 @@ def suppression_score(claims: DataFrame, lexicon, mismatch_words: list[str], wei
 
 
 def temporal_burst(claims: DataFrame, days: int = 14) -> DataFrame:
-    """Per topic the largest number of dates within `days` days of a date, and the earliest such window.
+    """Per topic the largest number of dates within `days` days of a date, the earliest such window, and its score.
 
-    The ladder rates the share of all dates in it; fewer than 3 dates are no data (null score).
+    Counts in a window are differences of running counts, taken by (topic, day) with prefix sums over the days, so
+    work grows with the dates and a topic is many tasks' work. Fewer than 3 dates are no data (null score).
+    Null dates are left out; a topic without dates, or an empty table, gives no row.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("topic").orderBy("us").rangeBetween(0, days * DAY_US)
-    counted = claims.where("ts is not null").select("topic", "ts", at.alias("us")).withColumn("n", F.count("*").over(w))
-    best = counted.groupBy("topic").agg(F.max("n").alias("cluster"), F.min_by("ts", F.struct(-F.col("n"), F.col("ts"))).alias("window_start"), F.count("*").alias("n_dated"))
-    share = F.col("cluster") / F.col("n_dated")
-    score = F.when(F.col("n_dated") >= 3, F.when((F.col("cluster") >= 10) & (share >= 0.5), 0.9).when((F.col("cluster") >= 5) & (share >= 0.5), 0.7).when(F.col("cluster") >= 10, 0.6).when((F.col("cluster") >= 3) & (share >= 0.5), 0.5).when(F.col("cluster") >= 5, 0.4).when(F.col("cluster") >= 3, 0.2).otherwise(0.0))
-    return best.withColumn("burst_score", score).withColumn("burst_ratio", F.round(share, 6))
+    dates = claims.where("ts is not null").select("topic", "ts", at.alias("us")).groupBy("topic", "us").agg(F.min("ts").alias("ts"), F.count("*").alias("k"))
+    ends = dates.select("topic", "us", "ts", "k", F.explode(F.expr(f"array(struct(us as at, k as add, 0 as last), struct(us + {days * DAY_US}L as at, 0L as add, 1 as last))")).alias("m"))
+    marks = ends.select("topic", "us", "ts", "k", "m.*").withColumn("day", F.expr(f"at div {DAY_US}"))
+    totals = marks.groupBy("topic", "day").agg(F.sum("add").alias("part"))
+    base = totals.select("topic", "day", F.coalesce(F.sum("part").over(W.partitionBy("topic").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = F.sum("add").over(W.partitionBy("topic", "day").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    run = marks.withColumn("within", within).join(base, ["topic", "day"]).withColumn("upto", F.col("base") + F.col("within"))
+    counted = run.groupBy("topic", "us").agg(F.first("ts").alias("ts"), F.first("k").alias("k"), (F.max(F.when(F.col("last") == 1, F.col("upto"))) - F.max(F.when(F.col("last") == 0, F.col("upto"))) + F.first("k")).alias("n"))
+    best = counted.groupBy("topic").agg(F.max("n").alias("cluster"), F.min_by("ts", F.struct(-F.col("n"), F.col("ts"))).alias("window_start"), F.sum("k").alias("n_dated"))
+    scored = best.withColumn("burst_score", F.when(F.col("n_dated") >= 3, burst_score("cluster", "n_dated")))
+    return scored.withColumn("burst_ratio", F.round(F.col("cluster") / F.col("n_dated"), 6)).withColumn("burst", F.col("burst_score") >= 0.5)
+
+
+def burst_score(cluster: str, total: str) -> Column:
+    """D20's ladder: by the share of dates in the cluster where it is 0.6 or more, else by size and share."""
+    c, r = F.col(cluster), F.col(cluster) / F.col(total)
+    most = ladder(c, [(20, 0.9), (10, 0.8), (5, 0.7)], 0.5)
+    much = ladder(c, [(30, 0.8), (15, 0.6), (5, 0.5)], 0.3)
+    rest = F.when((c >= 50) & (r > 0.3), 0.9).when((c >= 25) & (r > 0.3), 0.8).when((c >= 15) & (r > 0.25), 0.7).when((c >= 10) & (r > 0.2), 0.6).when(c >= 5, 0.4 + r * 0.5).otherwise(0.2 * r)
+    return F.round(F.when(r >= 0.8, most).when(r >= 0.6, much).otherwise(rest), 6)
+
+
+def burst_score_v1(cluster: str, total: str) -> Column:
+    """The first version's five steps: by size and share together, else half the share."""
+    c, r = F.col(cluster), F.col(cluster) / F.col(total)
+    return F.round(F.when((c >= 50) & (r > 0.5), 0.9).when((c >= 30) & (r > 0.4), 0.7).when((c >= 20) & (r > 0.3), 0.5).when((c >= 10) & (r > 0.2), 0.3).otherwise(r * 0.5), 6)
+
+
+def coordination_v1(signals: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The weighted mean over all signals, null ones as zero; confidence is the share of signals above zero."""
+    score = sum((F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    sure = sum((F.coalesce((F.col(k) > 0).cast("int"), F.lit(0)) for k in weights), F.lit(0)) / len(weights)
+    return signals.withColumn("score", F.round(score, 6)).withColumn("confidence", F.round(sure, 6))
 
 
 def burst_members(claims: DataFrame, days: int = 14) -> DataFrame:
@@ -78,29 +106,41 @@ def burst_members(claims: DataFrame, days: int = 14) -> DataFrame:
 
 
 def source_centralization(claims: DataFrame) -> DataFrame:
-    """Per topic the share of its largest source, distinct sources over claims, and the share's ladder."""
-    per = claims.groupBy("topic", "source").agg(F.count("*").alias("k"))
+    """Per topic the share of its largest source, distinct sources over claims, the score and whether it is centralized.
+
+    Claims without a source are left out; of equal sources the smallest is the top one.
+    """
+    per = claims.where("source is not null").groupBy("topic", "source").agg(F.count("*").alias("k"))
     top = per.groupBy("topic").agg(F.max_by("source", F.struct("k", -F.col("source"))).alias("top_source"), F.max("k").alias("top"), F.sum("k").alias("n"), F.count("*").alias("n_sources"))
-    share = F.col("top") / F.col("n")
-    return top.select("topic", "top_source", "n", "n_sources", F.round(share, 6).alias("top_share"), F.round(F.col("n_sources") / F.col("n"), 6).alias("diversity"), ladder(share, [(0.6, 0.9), (0.4, 0.7), (0.25, 0.4), (0.15, 0.2)]).alias("central_score"), ((share > 0.4) | (F.col("n_sources") / F.col("n") < 0.25)).alias("centralized"))
+    share, diversity = F.col("top") / F.col("n"), F.col("n_sources") / F.col("n")
+    score = F.when(share > 0.5, 0.8).when(share > 0.3, 0.6).when(diversity < 0.2, 0.5).otherwise(share * 0.5)
+    return top.select("topic", "top_source", "n", "n_sources", F.round(share, 6).alias("top_share"), F.round(diversity, 6).alias("diversity"), F.round(score, 6).alias("central_score"), ((share > 0.4) | (diversity < 0.25)).alias("centralized"))
 
 
 def citation_cartel(edges: DataFrame, source_of: DataFrame) -> DataFrame:
-    """Per topic the share of citations that go to the most cited source; under 3 citations no data."""
+    """Per topic the share of citations that go to the most cited source; under 3 citations no data (null score).
+
+    edges has topic, dst; source_of node, source. Citations of unknown nodes are left out; of equal sources the smallest counts.
+    """
     cited = edges.join(source_of.withColumnRenamed("node", "dst"), "dst")
     per = cited.groupBy("topic", "source").agg(F.count("*").alias("k"))
     top = per.groupBy("topic").agg(F.max("k").alias("top"), F.sum("k").alias("n"), F.max_by("source", F.struct("k", -F.col("source"))).alias("top_source"))
     share = F.col("top") / F.col("n")
-    return top.select("topic", "n", "top_source", F.round(share, 6).alias("share"), F.when(F.col("n") >= 3, ladder(share, [(0.6, 0.9), (0.4, 0.6), (0.2, 0.3)])).alias("cartel_score"))
+    score = ladder(share, [(0.6, 0.9), (0.4, 0.6), (0.2, 0.3)], 0.1, strict=True)
+    return top.select("topic", F.col("n").alias("n_citations"), F.col("top_source").alias("top_cited"), F.round(share, 6).alias("share"), F.when(F.col("n") >= 3, score).alias("cartel_score"), (share > 0.4).alias("cartel"))
 
 
 def synchronized_emotion(claims: DataFrame) -> DataFrame:
-    """Per topic shares of fear, anger, urgency and intensity, from flags on the claims; the largest blend, raised and capped."""
-    shares = claims.groupBy("topic").agg(*(F.avg(F.col(c).cast("int")).alias(c) for c in ("fear", "anger", "urgency", "intense")))
-    blend = F.greatest(F.col("fear"), F.col("anger"), F.col("urgency"), F.expr("(fear + anger + urgency) / 3"))
+    """Per topic shares of fear, anger, urgency and intensity, from flags on the claims, and the score.
+
+    The score is the largest of fear with urgency (half the smaller added to the larger), 1.2 fear, 1.3 anger and a
+    weighted sum; times 1.5 with two kinds over 0.2, times 1.2 with intensity over 0.5; at most 1. Null flags are false.
+    """
+    shares = claims.groupBy("topic").agg(*(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")).alias(c) for c in ("fear", "anger", "urgency", "intense")))
+    blend = F.expr("greatest(greatest(fear, urgency) + 0.5D * least(fear, urgency), 1.2D * fear, 1.3D * anger, 0.35D * fear + 0.35D * anger + 0.2D * urgency + 0.1D * intense)")
     several = F.expr("cast(fear > 0.2 as int) + cast(anger > 0.2 as int) + cast(urgency > 0.2 as int) >= 2")
     score = F.least(F.lit(1.0), blend * F.when(several, 1.5).otherwise(1.0) * F.when(F.col("intense") > 0.5, 1.2).otherwise(1.0))
-    return shares.select("topic", *(F.round(c, 6).alias(c) for c in ("fear", "anger", "urgency", "intense")), F.round(score, 6).alias("emotion_score"))
+    return shares.select("topic", *(F.round(c, 6).alias(c) for c in ("fear", "anger", "urgency", "intense")), F.round(score, 6).alias("emotion_score"), (score > 0.4).alias("synchronized"))
 
 
 COORDINATION = {"burst_score": 0.25, "cartel_score": 0.20, "emotion_score": 0.15, "central_score": 0.15, "language_score": 0.25}
@@ -111,7 +151,20 @@ def coordination_score(signals: DataFrame, weights: dict[str, float]) -> DataFra
     score = weighted_mean(weights, lambda k: F.coalesce(F.col(k), F.lit(0.0)), lambda k: F.col(k).isNotNull())
     sure = sum((F.coalesce((F.col(k) > 0).cast("int"), F.lit(0)) for k in weights), F.lit(0)) / 5
     out = signals.withColumn("score", F.round(score, 6)).withColumn("confidence", F.round(F.when(sure > 0, sure).otherwise(0.5), 6))
-    return out.withColumn("severity", F.when(F.col("score") >= 0.7, "HIGH").when(F.col("score") >= 0.4, "MODERATE").when(F.col("score") >= 0.2, "LOW").otherwise("MINIMAL"))
+    return out.withColumn("severity", F.when(F.col("score") >= 0.8, "CRITICAL").when(F.col("score") >= 0.6, "HIGH").when(F.col("score") >= 0.4, "MODERATE").when(F.col("score") >= 0.2, "LOW").otherwise("MINIMAL"))
+
+
+def language_similarity(vectors: DataFrame) -> DataFrame:
+    """Per topic the pairs of vectors from different sources: how many, over 0.85 and over 0.70, mean, largest, and the score.
+
+    vectors has topic, source, embedding. Pairs are counted block by block and never made rows. Rows with a null
+    source or vector are left out; a topic without such pairs gives no row (no data).
+    """
+    got = pair_stats(vectors, [0.85, 0.70])
+    high, medium = F.col("over1"), F.col("over2")
+    score = F.when(high >= 50, 0.9).when(high >= 20, 0.7).when(high >= 10, 0.5).when(high >= 5, 0.3).when(medium >= 50, 0.5).when(medium >= 20, 0.3).otherwise(F.least("mean", F.lit(0.2)))
+    score = F.when(F.col("most") > 0.95, F.least(score + 0.1, F.lit(1.0))).otherwise(score)
+    return got.select("topic", "pairs", high.alias("high_pairs"), medium.alias("medium_pairs"), F.round("mean", 6).alias("mean_similarity"), F.round("most", 6).alias("max_similarity"), F.round(score, 6).alias("language_score"))
 
 
 def language_average(vectors: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def context_stats(results: DataFrame, by: list[str], words: list[str], mainstrea
 
 def search_confidence(results: DataFrame, by: list[str], entity: str) -> DataFrame:
     """Per result set 0.3 min(n / 20, 1) + 0.5 mean trust + 0.2 min(distinct entities / 5, 1)."""
-    score = 0.3 * F.least(F.count("*") / 20, F.lit(1.0)) + 0.5 * F.avg("confidence") + 0.2 * F.least(F.count_distinct(entity) / 5, F.lit(1.0))
+    mean = F.sum(F.col("confidence").cast("decimal(20,6)")).cast("double") / F.count("confidence")  # an exact sum, in any order
+    score = 0.3 * F.least(F.count("*") / 20, F.lit(1.0)) + 0.5 * mean + 0.2 * F.least(F.count_distinct(entity) / 5, F.lit(1.0))
     return results.groupBy(*by).agg(F.round(score, 6).alias("search_confidence"))
 
 
@@ -91,11 +92,11 @@ def system_status(claims: DataFrame, vectors: DataFrame, least: int = 1) -> Data
 
 
 def recommend_profile(topics: DataFrame, text: str, keywords: list[tuple[str, list[str]]], otherwise: str = "default") -> DataFrame:
-    """The first profile in order with a keyword in the topic, at confidence 0.8; the default at 0.5."""
+    """The first profile in order with a keyword in the topic, at confidence 0.7; the default at 0.5."""
     name, low = F.lit(None).cast("string"), F.lower(text)
     for profile, words in reversed(keywords):
         name = F.when(_any_of(low, words), profile).otherwise(name)
-    return topics.withColumn("profile", F.coalesce(name, F.lit(otherwise))).withColumn("profile_confidence", F.when(name.isNotNull(), 0.8).otherwise(0.5))
+    return topics.withColumn("profile", F.coalesce(name, F.lit(otherwise))).withColumn("profile_confidence", F.when(name.isNotNull(), 0.7).otherwise(0.5))
 
 
 def validate_profiles(profiles: DataFrame, slack: float = 0.01) -> DataFrame:

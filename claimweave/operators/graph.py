@@ -58,20 +58,36 @@ def temporal_sequences(dated: DataFrame, days: int = 90, least: int = 3) -> Data
     return met.groupBy(F.col("x.entity").alias("e1"), F.col("y.entity").alias("e2")).agg(F.count("*").alias("n"), F.round(F.avg(gap), 6).alias("mean_days")).where(F.col("n") >= least)
 
 
-def chains(edges: DataFrame, top: int | None = None) -> DataFrame:
-    """Simple paths a-b-c without a direct edge a-c; the strongest `top` by the product of weights."""
-    x, y = edges.alias("x"), edges.alias("y")
-    two = x.join(y, (F.col("x.dst") == F.col("y.src")) & (F.col("x.src") != F.col("y.dst"))).select(F.col("x.src").alias("a"), F.col("x.dst").alias("b"), F.col("y.dst").alias("c"), F.round(F.col("x.weight") * F.col("y.weight"), 6).alias("strength"))
-    open_ = two.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("c")).distinct(), ["a", "c"], "left_anti").select("a", "b", "c", "strength")
-    return open_.orderBy(F.desc("strength"), "a", "b", "c").limit(top) if top else open_
+def chains(edges: DataFrame, top: int | None = None, kinds: list[str] | None = None, longest: int = 2) -> DataFrame:
+    """Simple paths of 2 to `longest` (2 or 3) edges of the kinds without a direct edge between their ends.
 
-
-def cascades(edges: DataFrame, first: int = 3, second: int = 5) -> DataFrame:
-    """Nodes with enough distinct successors and successors of those; magnitude is the product of both counts."""
+    a, b, c and, for 3 edges, d; strength is the product of weights; the strongest `top`, ties by nodes. edges has
+    src, dst, weight and, for kinds, rel_type. One edge counts where several join the same nodes: the heaviest.
+    """
+    e = (edges.where(F.col("rel_type").isin(kinds)) if kinds else edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("src <> dst")
+    step = lambda a, b, w: e.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("weight").alias(w))
+    two = step("a", "b", "w1").join(step("b", "c", "w2"), "b").where("a <> c")
+    direct = lambda end: e.select(F.col("src").alias("a"), F.col("dst").alias(end))
+    out = two.join(direct("c"), ["a", "c"], "left_anti").select("a", "b", "c", F.round(F.col("w1") * F.col("w2"), 6).alias("strength"))
+    if longest > 2:
+        three = two.join(step("c", "d", "w3"), "c").where("a <> d and b <> d").join(direct("d"), ["a", "d"], "left_anti")
+        none = F.lit(None).cast(e.schema["src"].dataType)
+        out = out.select("a", "b", "c", none.alias("d"), "strength").union(three.select("a", "b", "c", "d", F.round(F.expr("w1 * w2 * w3"), 6).alias("strength")))
+    return out.orderBy(F.desc("strength"), *out.columns[:-1]).limit(top) if top else out
+
+
+def cascades(edges: DataFrame, first: int = 3, second: int = 5, top: int | None = 20) -> DataFrame:
+    """Nodes with enough distinct successors and successors of those, the node itself left out of the latter.
+
+    magnitude is the product of both counts; the `top` largest, ties by node. Two-step ends are made distinct before they are counted.
+    """
     e = edges.select("src", "dst").distinct()
-    x, y = e.alias("x"), e.alias("y")
-    two = x.join(y, F.col("x.dst") == F.col("y.src")).groupBy(F.col("x.src").alias("node")).agg(F.count_distinct("x.dst").alias("n1"), F.count_distinct("y.dst").alias("n2"))
-    return two.where((F.col("n1") >= first) & (F.col("n2") >= second)).withColumn("magnitude", F.col("n1") * F.col("n2"))
+    n1 = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n1")).where(F.col("n1") >= first)
+    mid = e.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
+    ends = e.join(mid, F.col("dst") == F.col("mid")).where("src <> far").select(F.col("src").alias("node"), "far").distinct()
+    two = ends.groupBy("node").agg(F.count("*").alias("n2")).where(F.col("n2") >= second).join(n1, "node")
+    out = two.select("node", "n1", "n2", (F.col("n1") * F.col("n2")).alias("magnitude"))
+    return out.orderBy(F.desc("magnitude"), "node").limit(top) if top else out
 
 
 def contested(edges: DataFrame, trust: DataFrame, own: float = 0.7, other: float = 0.5) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# The indicator words of claims and the word lists of emotion scans.
-CLAIM_INDICATORS = ["argues", "claims", "states", "shows", "demonstrates", "suggests", "indicates", "reveals", "proves", "concludes", "found", "evidence", "research", "study", "according", "therefore", "because", "must", "should", "cause"]
-FEAR = ["danger", "threat", "fear", "terror", "crisis", "catastrophe", "disaster", "deadly", "destroy", "attack", "war", "death", "kill", "risk", "panic", "alarm"]
-ANGER = ["outrage", "anger", "fury", "betray", "corrupt", "lie", "cheat", "steal", "fraud", "scandal", "disgrace", "shame", "injustice", "hate", "enemy"]
-URGENCY = ["now", "immediately", "urgent", "hurry", "deadline", "before it's too late", "act", "quick", "instant", "emergency", "critical"]
+# The indicator words of claims, the word lists of emotion scans, pronouns, and words that start no entity.
+CLAIM_INDICATORS = ["shows", "demonstrates", "proves", "indicates", "suggests", "reveals", "confirms", "establishes", "argues", "claims", "proposes", "asserts", "maintains", "contends", "states", "evidence", "research", "study", "findings", "analysis"]
+FEAR = ["crisis", "disaster", "emergency", "unprecedented", "catastrophic", "collapse", "destroy", "threaten", "danger", "risk", "fatal", "deadly", "terrifying", "shocking", "horrific", "panic"]
+ANGER = ["outrage", "outrageous", "unacceptable", "corrupt", "fraud", "scandal", "betrayal", "lie", "liar", "attack", "assault", "abuse", "violation", "criminal", "traitor"]
+URGENCY = ["now", "immediately", "urgent", "act now", "don't wait", "limited time", "before it's too late", "right now", "critical", "must", "need to"]
+PRONOUNS = ["he", "him", "his", "himself", "she", "her", "hers", "herself", "they", "them", "their", "theirs", "themselves", "it", "its", "itself", "who", "whom", "whose", "which", "that"]
+NOT_ENTITIES = ["The", "This", "That", "These", "Those", "They", "It", "He", "She", "We", "You", "I", "A", "An"]
 
 
 def chunk_words(docs: DataFrame, size: int = 1000, overlap: int = 200, min_words: int = 50) -> DataFrame:
@@ -26,9 +28,10 @@ def hashed_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.md5(F.concat_ws("_", *parts)), 1, 12))
 
 
-def sentences(docs: DataFrame, least: int = 20) -> DataFrame:
-    """doc_id, seq, sentence: pieces between . ! ? of at least `least` characters."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "[.!?]+")).alias("seq", "s")).select("doc_id", "seq", F.trim("s").alias("sentence")).where(F.length("sentence") >= least)
+def sentences(docs: DataFrame, least: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of keep, seq, sentence: pieces between . ! ? of at least `least` characters. Null texts give none."""
+    own = ["doc_id", *keep]
+    return docs.select(*own, F.posexplode(F.split("text", "[.!?]+")).alias("seq", "s")).select(*own, "seq", F.trim("s").alias("sentence")).where(F.length("sentence") >= least)
 
 
 def indicator_claims(docs: DataFrame, indicators: list[str] | None = None, least: int = 20, most: int = 500, per_doc: int = 30) -> DataFrame:
@@ -49,21 +52,23 @@ def copula_claims(docs: DataFrame, words: list[str]) -> DataFrame:
 
 def caps_entities(docs: DataFrame, stop: list[str] | None = None, longest: int = 20) -> DataFrame:
     """Runs of capitalised words longer than 3 letters, each once per document, in order, at most `longest`."""
-    runs = F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"), 1)
-    kept = F.filter(F.array_except(F.array_distinct(runs), F.array(*map(F.lit, stop or ["The", "This", "That"]))), lambda e: F.length(e) > 3)
+    runs = F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), 1)
+    kept = F.filter(F.array_except(F.array_distinct(runs), F.array(*map(F.lit, stop or NOT_ENTITIES))), lambda e: F.length(e) > 3)
     return docs.select("doc_id", F.posexplode(F.slice(kept, 1, longest)).alias("rank", "entity"))
 
 
-def needs_coref(docs: DataFrame, pronouns: list[str]) -> DataFrame:
-    """Whether any token of the text is a pronoun."""
-    return docs.select("doc_id", F.arrays_overlap(F.split(F.lower("text"), "[^a-z]+"), F.array(*map(F.lit, pronouns))).alias("needs_coref"))
+def needs_coref(docs: DataFrame, pronouns: list[str] | None = None) -> DataFrame:
+    """Whether any token between white space is a pronoun, in any case; null for a null text."""
+    return docs.select("doc_id", F.arrays_overlap(F.split(F.lower("text"), r"\s+"), F.array(*map(F.lit, pronouns or PRONOUNS))).alias("needs_coref"))
 
 
 def section_date(text: str = "text") -> Column:
-    """T5: the first date of a text written Month D, YYYY or YYYY-MM-DD or M/D/YYYY, in this order."""
+    """T5: the first date of a text written Month D, YYYY (in any case, the comma optional) or YYYY-MM-DD or M/D/YYYY, in this order; null without one."""
     months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    tries = [(rf"((?:{months}) \d{{1,2}}, \d{{4}})", "MMMM d, yyyy"), (r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"), (r"(\d{1,2}/\d{1,2}/\d{4})", "M/d/yyyy")]
-    return F.coalesce(*(F.try_to_timestamp(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit(f)).cast("date") for p, f in tries))
+    named = F.regexp_extract(text, rf"(?i)\b({months})\s+(\d{{1,2}}),?\s+(\d{{4}})\b", 0)
+    named = F.initcap(F.regexp_replace(F.regexp_replace(named, ",", " "), r"\s+", " "))
+    tries = [(named, "MMMM d yyyy"), (F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"), (F.regexp_extract(text, r"(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy")]
+    return F.coalesce(*(F.try_to_timestamp(F.nullif(x, F.lit("")), F.lit(f)).cast("date") for x, f in tries))
 
 
 def keyword_hits(text: Column, words: list[str]) -> Column:
@@ -72,21 +77,34 @@ def keyword_hits(text: Column, words: list[str]) -> Column:
 
 
 def emotion_scan(df: DataFrame, text: str, fear: list[str] | None = None, anger: list[str] | None = None, urgency: list[str] | None = None) -> DataFrame:
-    """Adds n_fear, n_anger, n_urgency, sentiment, intensity = min(1, 0.2 n) and triggers."""
+    """Adds n_fear, n_anger, n_urgency, sentiment, intensity = min(1, 0.2 n), triggers and four flags.
+
+    The sentiment is fear where it has more words than anger, else anger where it has any, else neutral.
+    A null text has no words.
+    """
     parts = {"n_fear": fear or FEAR, "n_anger": anger or ANGER, "n_urgency": urgency or URGENCY}
-    hits = [keyword_hits(F.col(text), ws) for ws in parts.values()]
+    hits = [keyword_hits(F.coalesce(F.col(text), F.lit("")), ws) for ws in parts.values()]
     out = df.select("*", *(F.size(h).alias(k) for k, h in zip(parts, hits, strict=True)), F.concat(*hits).alias("triggers"))
     total = F.expr("n_fear + n_anger + n_urgency")
-    return out.withColumn("sentiment", F.expr("case when n_fear + n_anger + n_urgency = 0 then 'neutral' when n_fear >= n_anger and n_fear >= n_urgency then 'fear' when n_anger >= n_urgency then 'anger' else 'urgency' end")).withColumn("intensity", F.round(F.least(F.lit(1.0), total * 0.2), 6))
+    out = out.withColumn("sentiment", F.expr("case when n_fear > n_anger then 'fear' when n_anger > 0 then 'anger' else 'neutral' end")).withColumn("intensity", F.round(F.least(F.lit(1.0), total * 0.2), 6))
+    flags = {"appeals_to_fear": "n_fear > 0", "appeals_to_anger": "n_anger > 0", "urgency_without_evidence": "n_urgency > 0", "loaded_language": "n_fear + n_anger + n_urgency > 2"}
+    return out.select("*", *(F.expr(e).alias(k) for k, e in flags.items()))
 
 
 def normalize_topic(raw: Column) -> Column:
-    """Lower case, punctuation trimmed at the ends, a light plural stripped (ies to y; s unless ss)."""
-    t = F.regexp_replace(F.lower(raw), r"^[^a-z0-9]+|[^a-z0-9]+$", "")
-    return F.when(t.rlike("ies$"), F.regexp_replace(t, "ies$", "y")).when(t.rlike("[^s]s$"), F.regexp_replace(t, "s$", "")).otherwise(t)
+    """Lower case, . , ; : ! ? and quotes trimmed at the ends, a light plural stripped: ies to y over 4 letters, es kept, s unless ss over 3."""
+    t = F.regexp_replace(F.trim(F.lower(raw)), "^[.,;:!?\"']+|[.,;:!?\"']+$", "")
+    n = F.length(t)
+    return F.when(t.endswith("ies") & (n > 4), F.regexp_replace(t, "ies$", "y")).when(t.endswith("es") & (n > 4), t).when(t.endswith("s") & ~t.endswith("ss") & (n > 3), F.regexp_replace(t, "s$", "")).otherwise(t)
+
+
+# The verbs of each relation type.
+VERBS = {"CLAIMS": ["say", "tell", "claim", "state", "mention", "write", "publish"], "SUPPORTS": ["support", "agree", "confirm", "verify", "endorse"], "CONTRADICTS": ["contradict", "oppose", "deny", "refute", "criticize"]}
 
 
 def map_relation(verb: Column) -> Column:
-    """The relation type that a verb stands for."""
-    v = F.lower(verb)
-    return F.when(v.isin("claims", "states", "asserts", "says"), "CLAIMS").when(v.isin("supports", "confirms", "proves"), "SUPPORTS").when(v.isin("contradicts", "refutes", "denies", "disputes"), "CONTRADICTS").otherwise("RELATED_TO")
+    """The relation type that a verb stands for, in any case; null and other verbs: RELATED_TO."""
+    out, v = F.lit("RELATED_TO"), F.lower(verb)
+    for kind, verbs in VERBS.items():
+        out = F.when(v.isin(verbs), kind).otherwise(out)
+    return out

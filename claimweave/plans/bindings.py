@@ -46,7 +46,7 @@ def ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 RING = """ring as (select a.l_suppkey as src, b.l_suppkey as dst, cast(count(*) as double) as weight,
   max(case a.l_returnflag when 'A' then 'CITES' when 'N' then 'SUPPORTS' else 'CONTRADICTS' end) as rel_type
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-  where a.l_suppkey <> b.l_suppkey group by 1, 2 having (a.l_suppkey + b.l_suppkey) % 4 = 0)"""
+  where a.l_suppkey <> b.l_suppkey group by 1, 2)"""
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,3 +58,20 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLACES = """places as (select n_regionkey as topic, n_name as location, cast((n_nationkey * 37) % 140 - 70 as double) as lat, cast((n_nationkey * 73) % 360 - 180 as double) as lon, first_ts, last_ts
   from nation left join (select c_nationkey, min(o_orderdate) as first_ts, max(o_orderdate) as last_ts from customer join orders on c_custkey = o_custkey group by 1) d on n_nationkey = c_nationkey)"""
+
+
+def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations among event claims (topic, src, dst): a claim with k citations cites the claims at half and at a third of its id."""
+    c = event_claims(spark, sf_dir)
+    return c.selectExpr("topic", "claim_id as src", "explode(slice(array(claim_id div 2, claim_id div 3), 1, n_citations)) as dst")
+
+
+CITES = """cites as (select topic, claim_id as src, claim_id // 2 as dst from claims where n_citations >= 1 union all select topic, claim_id, claim_id // 3 from claims where n_citations >= 2)"""
+
+
+def claim_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of event claims: topic, source, embedding; a claim's vector is that of its id."""
+    return event_claims(spark, sf_dir).join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "claim_id"), "claim_id").select("claim_id", "topic", "source", "embedding")
+
+
+VECTORS = """vectors as (select claim_id, topic, source, cast(embedding as double[]) as embedding from claims join embeddings on vec_id = claim_id)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators import curate, detect, evidence, graph
 from claimweave.plans.bindings import EDGES, EVENTS, RING, event_claims, part_edges, ring_edges, table
-from claimweave.plans.registry import DOC_CLAIMS, TRUST, _any, _doc_claims, _trust, query
+from claimweave.plans.registry import CASCADES, DOC_CLAIMS, TRUST, _any, _doc_claims, _trust, query
 
 # Words that occur in the test tables.
 DISMISSAL = ["purchase", "42"]
@@ -50,7 +50,7 @@ def r15(spark, sf_dir):
     return evidence.context_stats(event_claims(spark, sf_dir), ["topic"], DISMISSAL, F.expr("source % 2 = 0"))
 
 
-@query("r16_search_confidence", f"with {EVENTS} select topic, source, round(0.3 * least(count(*) / cast(20 as double), 1.0) + 0.5 * avg(confidence) + 0.2 * least(count(distinct claim_type) / cast(5 as double), 1.0), 6) as search_confidence from claims group by 1, 2")
+@query("r16_search_confidence", f"with {EVENTS} select topic, source, round(0.3 * least(count(*) / cast(20 as double), 1.0) + 0.5 * (cast(sum(cast(confidence as decimal(20, 6))) as double) / count(confidence)) + 0.2 * least(count(distinct claim_type) / cast(5 as double), 1.0), 6) as search_confidence from claims group by 1, 2")
 def r16(spark, sf_dir):
     return evidence.search_confidence(event_claims(spark, sf_dir), ["topic", "source"], "claim_type")
 
@@ -67,7 +67,7 @@ def r20(spark, sf_dir):
     return got.withColumn("cites", F.array_join("cites", ",")).withColumn("cited_by", F.array_join("cited_by", ","))
 
 
-@query("r25_claim_evidence", f"""with {TRUST}, known as (select node, trust from trust where trust > 0.2)
+@query("r25_claim_evidence", f"""with {TRUST}, known as (select node, trust from trust)
 select dst as node, count(*) filter (rel_type = 'SUPPORTS') as n_supporting, count(*) filter (rel_type = 'CONTRADICTS') as n_contradicting, round(avg(coalesce(k.trust, 0.5)) filter (rel_type = 'SUPPORTS'), 6) as supporting_trust, round(avg(coalesce(k.trust, 0.5)) filter (rel_type = 'CONTRADICTS'), 6) as contradicting_trust
 from ring left join known k on k.node = src where rel_type in ('SUPPORTS', 'CONTRADICTS') group by 1""")
 def r25(spark, sf_dir):
@@ -84,7 +84,7 @@ def a4(spark, sf_dir):
     return evidence.system_status(event_claims(spark, sf_dir), table(spark, sf_dir, "embeddings"))
 
 
-@query("a9_recommend_profile", "select p_partkey, case " + " ".join(f"when {_any('lower(p_name)', w)} then '{k}'" for k, w in PROFILES) + " else 'default' end as profile, cast(case when " + " or ".join(_any("lower(p_name)", w) for _, w in PROFILES) + " then 0.8 else 0.5 end as double) as profile_confidence from part")
+@query("a9_recommend_profile", "select p_partkey, case " + " ".join(f"when {_any('lower(p_name)', w)} then '{k}'" for k, w in PROFILES) + " else 'default' end as profile, cast(case when " + " or ".join(_any("lower(p_name)", w) for _, w in PROFILES) + " then 0.7 else 0.5 end as double) as profile_confidence from part")
 def a9(spark, sf_dir):
     return evidence.recommend_profile(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", PROFILES).drop("p_name")
 
@@ -140,7 +140,7 @@ def d14(spark, sf_dir):
     return detect.service_score(event_claims(spark, sf_dir), DISMISSAL)
 
 
-@query("d23_internal_cartel", f"""with {RING}, g as (select s_suppkey as node, s_nationkey % 3 as grp from supplier where s_acctbal > 0), p as (select a.grp, src, count(*) filter (a.grp = b.grp) as i, count(*) filter (b.grp is null or a.grp <> b.grp) as o from ring join g a on a.node = src left join g b on b.node = dst group by 1, 2),
+@query("d23_internal_cartel", f"""with {RING}, g as (select s_suppkey as node, s_nationkey % 3 as grp from supplier), p as (select a.grp, src, count(*) filter (a.grp = b.grp) as i, count(*) filter (b.grp is null or a.grp <> b.grp) as o from ring join g a on a.node = src left join g b on b.node = dst group by 1, 2),
 v as (select grp, coalesce(avg(i) filter (i > 0), 0) as a, coalesce(avg(o) filter (o > 0), 0) as b from p group by 1), r as (select *, coalesce(a / nullif(a + b, 0), 0) as ratio, a >= 5 and coalesce(a / nullif(a + b, 0), 0) > 0.7 as detected from v)
 select grp, round(a, 6) as avg_internal, round(b, 6) as avg_external, round(ratio, 6) as ratio, detected, round(case when detected then ratio else ratio * 0.5 end, 6) as score from r""")
 def d23(spark, sf_dir):
@@ -153,7 +153,7 @@ def d35(spark, sf_dir):
     return detect.pattern_complexity(event_claims(spark, sf_dir), ["topic", "source"], LEVELS)
 
 
-@query("g3_personalized_trust", f"""with {TRUST}, u as (select c_nationkey as user_id, l_suppkey as node, cast(max(l_quantity) as double) / 50 as score from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R' group by 1, 2),
+@query("g3_personalized_trust", f"""with {TRUST}, u as (select c_nationkey as user_id, l_suppkey as node, cast(max(l_quantity) as double) / 50 as score from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey group by 1, 2),
 z as (select user_id, s_suppkey as node, coalesce(score, (s_suppkey % 10) / 10.0) as t0 from (select distinct user_id from u) cross join supplier left join u using (user_id) where u.node = s_suppkey union all select user_id, s_suppkey, (s_suppkey % 10) / 10.0 from (select distinct user_id from u) x cross join supplier where not exists (select 1 from u where u.user_id = x.user_id and u.node = s_suppkey)),
 z1 as (select z.user_id, z.node, z.t0, (1 - 0.85) * z.t0 + 0.85 * coalesce(i.f, 0) as t from z left join (select user_id, dst, sum(p * t0) as f from p join z on src = node group by 1, 2) i on i.dst = z.node and i.user_id = z.user_id),
 z2 as (select z.user_id, z.node, (1 - 0.85) * z.t0 + 0.85 * coalesce(i.f, 0) as t from z left join (select user_id, dst, sum(p * t) as f from p join z1 on src = node group by 1, 2) i on i.dst = z.node and i.user_id = z.user_id),
@@ -184,8 +184,8 @@ def g15(spark, sf_dir):
     return graph.unexpected_links(ring_edges(spark, sf_dir), _nodes(spark, sf_dir), 0.3)
 
 
-@query("g16_pattern_links", f"""with {RING}, e as (select distinct src, dst from ring), c as (select x.src from e x join e y on x.dst = y.src group by 1 having count(distinct x.dst) >= 3 and count(distinct y.dst) >= 5),
-k as (select 'cascade' as kind, [cast(src as varchar)] as nodes from c union all select 'link', [cast(src as varchar), cast(dst as varchar)] from ring)
+@query("g16_pattern_links", f"""with {RING}, {CASCADES},
+k as (select 'cascade' as kind, [cast(node as varchar)] as nodes from (select node from casc order by magnitude desc, node limit 20) union all select 'link', [cast(src as varchar), cast(dst as varchar)] from ring)
 select distinct kind, md5(kind || '|' || array_to_string(nodes, '|')) as pattern_id, unnest(nodes) as node from k""")
 def g16(spark, sf_dir):
     ring = ring_edges(spark, sf_dir)
@@ -217,11 +217,11 @@ def v6(spark, sf_dir):
     return graph.related_timeline(ring_edges(spark, sf_dir), dated)
 
 
-@query("r14_merge_results", f"""with {EVENTS}, a as (select claim_id, confidence as s1 from claims where contains(lower(claim_text), 'click')), b as (select vec_id as claim_id, cast(label as double) / 20 as s2 from embeddings where label < 10)
+@query("r14_merge_results", f"""with {EVENTS}, a as (select claim_id, confidence as s1 from claims where contains(lower(claim_text), 'click')), b as (select vec_id as claim_id, cast(label as double) / 20 as s2 from embeddings)
 select claim_id, greatest(s1, s2) as similarity, case when s1 is null then 'semantic' when s2 is null then 'graph' else 'both' end as found_by from a full join b using (claim_id)""")
 def r14(spark, sf_dir):
     found = event_claims(spark, sf_dir).where("contains(lower(claim_text), 'click')").selectExpr("claim_id", "confidence as similarity")
-    near = table(spark, sf_dir, "embeddings").where("label < 10").selectExpr("vec_id as claim_id", "cast(label as double) / 20 as similarity")
+    near = table(spark, sf_dir, "embeddings").selectExpr("vec_id as claim_id", "cast(label as double) / 20 as similarity")
     return curate.merge_results(found, near)
 
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.functions.scoring import cosine
+from claimweave.functions.vectors import vector_join
 from claimweave.operators import curate, detect, graph, text
-from claimweave.plans.bindings import EDGES, EVENTS, PLACES, RING, event_claims, part_edges, places, ring_edges, table
+from claimweave.plans.bindings import CITES, EDGES, EVENTS, PLACES, RING, VECTORS, cites, claim_vectors, event_claims, part_edges, places, ring_edges, table
 from claimweave.streaming.jobs import burst_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def _any(col: str, words: list[str]) -> str:
 def _doc_claims(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kinds = table(spark, sf_dir, "labels").selectExpr("doc_id", "case when toxic = 1 then 'META' when quality = 1 then 'PRIMARY' else 'SECONDARY' end as claim_type")
-    s = text.sentences(docs).join(docs.select("doc_id", "source", "lang"), "doc_id").join(kinds, "doc_id", "left")
+    s = text.sentences(docs.select("doc_id", "text", "source").join(kinds, "doc_id", "left"), keep=("source", "claim_type"))
     return s.select(text.hashed_id("claim_", F.col("doc_id").cast("string"), F.col("seq").cast("string")).alias("claim_id"), "doc_id", "seq", F.col("sentence").alias("claim_text"), F.col("source").alias("topic"), F.coalesce("claim_type", F.lit("CONTEXTUAL")).alias("claim_type"), ((F.length("sentence") % 100) / 100.0).alias("confidence"))
 
 
@@ -63,7 +63,7 @@ def t1(spark, sf_dir):
     return text.chunk_words(table(spark, sf_dir, "documents")).select("doc_id", "seq", F.md5("chunk").alias("chunk_md5"), F.size(F.split("chunk", " ")).cast("long").alias("n_words"))
 
 
-@query("t3_t7_sentence_ids", f"with {SENTENCES} select doc_id, count(*) as n, min('claim_' || substr(md5(doc_id || '_' || substr(sentence, 1, 100)), 1, 12)) as first_id from s group by 1")
+@query("t3_sentence_ids", f"with {SENTENCES} select doc_id, count(*) as n, min('claim_' || substr(md5(doc_id || '_' || substr(sentence, 1, 100)), 1, 12)) as first_id from s group by 1")
 def t3(spark, sf_dir):
     s = text.sentences(table(spark, sf_dir, "documents"))
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(text.hashed_id("claim_", F.col("doc_id").cast("string"), F.substring("sentence", 1, 100))).alias("first_id"))
@@ -76,7 +76,7 @@ def t8(spark, sf_dir):
 
 
 @query("t11_caps_entities", """
-with r as (select doc_id, list_distinct_ordered as e from (select doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\\b', 1), lambda x: x not in ('The', 'This', 'That')) as l from documents) t,
+with r as (select doc_id, list_distinct_ordered as e from (select doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: x not in ('The', 'This', 'That', 'These', 'Those', 'They', 'It', 'He', 'She', 'We', 'You', 'I', 'A', 'An')) as l from documents) t,
   lateral (select list(x order by p) as list_distinct_ordered from (select x, min(p) as p from (select unnest(l) as x, generate_subscripts(l, 1) as p) group by x)) u)
 select doc_id, cast(i - 1 as integer) as rank, k[i] as entity from (select doc_id, list_filter(e, lambda x: length(x) > 3)[1:20] as k from r), lateral (select unnest(range(1, len(k) + 1)) as i)""")
 def t11(spark, sf_dir):
@@ -84,9 +84,9 @@ def t11(spark, sf_dir):
     return text.caps_entities(plain)
 
 
-@query("t14_needs_coref", "select doc_id, list_has_any(regexp_split_to_array(lower(text), '[^a-z]+'), ['he', 'she', 'it', 'they', 'this', 'that']) as needs_coref from documents")
+@query("t14_needs_coref", f"select doc_id, list_has_any(regexp_split_to_array(lower(text), '\\s+'), {_sql_list(text.PRONOUNS)}) as needs_coref from documents")
 def t14(spark, sf_dir):
-    return text.needs_coref(table(spark, sf_dir, "documents"), ["he", "she", "it", "they", "this", "that"])
+    return text.needs_coref(table(spark, sf_dir, "documents"))
 
 
 @query("t5_section_date", "select o_orderkey, cast(o_orderdate as date) as filed from orders")
@@ -101,10 +101,10 @@ FEAR, ANGER, URGENCY = ["worthless", "scum"], ["stupid", "idiot", "the"], ["lice
 @query("t16_emotion_scan", f"""
 with h as (select doc_id, len([w for w in {_sql_list(FEAR)} if contains(lower(text), w)]) as n_fear, len([w for w in {_sql_list(ANGER)} if contains(lower(text), w)]) as n_anger, len([w for w in {_sql_list(URGENCY)} if contains(lower(text), w)]) as n_urgency from documents)
 select doc_id, cast(n_fear as integer) as n_fear, cast(n_anger as integer) as n_anger, cast(n_urgency as integer) as n_urgency,
- case when n_fear + n_anger + n_urgency = 0 then 'neutral' when n_fear >= n_anger and n_fear >= n_urgency then 'fear' when n_anger >= n_urgency then 'anger' else 'urgency' end as sentiment,
+ case when n_fear > n_anger then 'fear' when n_anger > 0 then 'anger' else 'neutral' end as sentiment, n_fear + n_anger + n_urgency > 2 as loaded_language,
  round(least(1.0, (n_fear + n_anger + n_urgency) * cast(0.2 as double)), 6) as intensity from h""")
 def t16(spark, sf_dir):
-    return text.emotion_scan(table(spark, sf_dir, "documents"), "text", FEAR, ANGER, URGENCY).select("doc_id", "n_fear", "n_anger", "n_urgency", "sentiment", "intensity")
+    return text.emotion_scan(table(spark, sf_dir, "documents"), "text", FEAR, ANGER, URGENCY).select("doc_id", "n_fear", "n_anger", "n_urgency", "sentiment", "loaded_language", "intensity")
 
 
 @query("r1_search_text", f"with {DOC_CLAIMS} select claim_id, doc_id, confidence from claims where contains(lower(claim_text), 'licensed')")
@@ -125,14 +125,13 @@ def r5(spark, sf_dir):
 
 
 @query("r7_search_vector", """
-with q as (select embedding as e from embeddings where vec_id = 7),
+with q as (select embedding as e from embeddings order by vec_id limit 1),
 s as (select vec_id, list_cosine_similarity(cast(embedding as double[]), cast(e as double[])) as similarity from embeddings, q)
 select vec_id, round(similarity, 5) as similarity from s where similarity >= 0.05 order by s.similarity desc, vec_id limit 20""")
 def r7(spark, sf_dir):
     vecs = table(spark, sf_dir, "embeddings")
-    q = vecs.where("vec_id = 7").select(F.col("embedding").alias("_q"))  # one row
-    found = vecs.crossJoin(F.broadcast(q)).withColumn("similarity", cosine("embedding", "_q")).where("similarity >= 0.05")
-    return found.orderBy(F.desc("similarity"), "vec_id").limit(20).select("vec_id", F.round("similarity", 5).alias("similarity"))
+    probe = vecs.orderBy("vec_id").limit(1).collect()[0]["embedding"]  # the query: one vector
+    return curate.search_vector(vecs, probe, 20, 0.05).select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
 @query("r13_prioritized_sample", f"""with {EVENTS}, p as (select claim_id, topic, case when claim_type = 'META' then 2 else 0 end + case when contains(lower(claim_text), 'purchase') or contains(lower(claim_text), '42') then 3 else 0 end as priority from claims),
@@ -156,7 +155,7 @@ def a2(spark, sf_dir):
     return curate.corpus_stats(event_claims(spark, sf_dir))
 
 
-@query("a5_quality_report", f"""with {EVENTS}, b as (select topic, count(*) as n, count(distinct source) as n_sources, count(*) filter (claim_type = 'META') as n_meta, count(*) filter (claim_type = 'PRIMARY') as n_primary, count(ts) as n_dated from claims where source % 3 = 0 group by 1)
+@query("a5_quality_report", f"""with {EVENTS}, b as (select topic, count(*) as n, count(distinct source) as n_sources, count(*) filter (claim_type = 'META') as n_meta, count(*) filter (claim_type = 'PRIMARY') as n_primary, count(ts) as n_dated from claims group by 1)
 select *, n >= 5 and n_sources >= 2 as sufficient, concat_ws(',', case when n < 5 then 'few_claims' end, case when n_sources < 2 then 'few_sources' end, case when n_meta = 0 then 'no_meta' end, case when n_dated < n then 'undated' end) as warnings from b""")
 def a5(spark, sf_dir):
     return curate.quality_report(event_claims(spark, sf_dir))
@@ -227,10 +226,15 @@ def d11(spark, sf_dir):
 
 BURST = """w as (select topic, ts, count(*) over (partition by topic order by ts range between current row and interval 14 days following) as n from claims where ts is not null),
 burst as (select topic, max(n) as cluster, arg_min(ts, (-n, ts)) as window_start, count(*) as n_dated from w group by 1),
-burst2 as (select topic, cluster, window_start, n_dated, case when n_dated >= 3 then case when cluster >= 10 and cluster / n_dated >= 0.5 then 0.9 when cluster >= 5 and cluster / n_dated >= 0.5 then 0.7 when cluster >= 10 then 0.6 when cluster >= 3 and cluster / n_dated >= 0.5 then 0.5 when cluster >= 5 then 0.4 when cluster >= 3 then 0.2 else 0.0 end end as burst_score, round(cluster / n_dated, 6) as burst_ratio from burst)"""
+burst1 as (select *, cluster / n_dated as r from burst),
+burst2 as (select topic, cluster, window_start, n_dated, round(cast(case when n_dated < 3 then null
+ when r >= 0.8 then case when cluster >= 20 then 0.9 when cluster >= 10 then 0.8 when cluster >= 5 then 0.7 else 0.5 end
+ when r >= 0.6 then case when cluster >= 30 then 0.8 when cluster >= 15 then 0.6 when cluster >= 5 then 0.5 else 0.3 end
+ when cluster >= 50 and r > 0.3 then 0.9 when cluster >= 25 and r > 0.3 then 0.8 when cluster >= 15 and r > 0.25 then 0.7 when cluster >= 10 and r > 0.2 then 0.6 when cluster >= 5 then 0.4 + r * 0.5 else 0.2 * r end as double), 6) as burst_score,
+ round(r, 6) as burst_ratio from burst1)"""
 
 
-@query("d20_temporal_burst", f"with {EVENTS}, {BURST} select topic, cluster, window_start, n_dated, cast(burst_score as double) as burst_score, burst_ratio from burst2")
+@query("d20_temporal_burst", f"with {EVENTS}, {BURST} select topic, cluster, window_start, n_dated, burst_score, burst_ratio, burst_score >= 0.5 as burst from burst2")
 def d20(spark, sf_dir):
     return detect.temporal_burst(event_claims(spark, sf_dir))
 
@@ -240,9 +244,9 @@ def d28(spark, sf_dir):
     return detect.burst_members(event_claims(spark, sf_dir))
 
 
-CENTRAL = """per as (select topic, source, count(*) as k from claims group by 1, 2),
+CENTRAL = """per as (select topic, source, count(*) as k from claims where source is not null group by 1, 2),
 top as (select topic, arg_max(source, (k, -source)) as top_source, cast(sum(k) as bigint) as n, count(*) as n_sources, max(k) as top from per group by 1),
-central as (select topic, top_source, n, n_sources, round(top / n, 6) as top_share, round(n_sources / n, 6) as diversity, cast(case when top / n >= 0.6 then 0.9 when top / n >= 0.4 then 0.7 when top / n >= 0.25 then 0.4 when top / n >= 0.15 then 0.2 else 0 end as double) as central_score, top / n > 0.4 or n_sources / n < 0.25 as centralized from top)"""
+central as (select topic, top_source, n, n_sources, round(top / n, 6) as top_share, round(n_sources / n, 6) as diversity, round(cast(case when top / n > 0.5 then 0.8 when top / n > 0.3 then 0.6 when n_sources / n < 0.2 then 0.5 else top / n * 0.5 end as double), 6) as central_score, top / n > 0.4 or n_sources / n < 0.25 as centralized from top)"""
 
 
 @query("d25_source_centralization", f"with {EVENTS}, {CENTRAL} select * from central")
@@ -250,22 +254,43 @@ def d25(spark, sf_dir):
     return detect.source_centralization(event_claims(spark, sf_dir))
 
 
-EMOTION = """sh as (select topic, avg(cast(fear as int)) as fear, avg(cast(anger as int)) as anger, avg(cast(urgency as int)) as urgency, avg(cast(intense as int)) as intense from claims group by 1),
-emotion as (select *, least(1.0, greatest(fear, anger, urgency, (fear + anger + urgency) / 3) * case when cast(fear > 0.2 as int) + cast(anger > 0.2 as int) + cast(urgency > 0.2 as int) >= 2 then 1.5 else 1.0 end * case when intense > 0.5 then 1.2 else 1.0 end) as e from sh)"""
+EMOTION = """sh as (select topic, avg(coalesce(fear, false)::int) as fear, avg(coalesce(anger, false)::int) as anger, avg(coalesce(urgency, false)::int) as urgency, avg(coalesce(intense, false)::int) as intense from claims group by 1),
+emotion as (select *, least(1.0, greatest(greatest(fear, urgency) + least(fear, urgency) / 2, 1.2 * fear, 1.3 * anger, 0.35 * fear + 0.35 * anger + 0.2 * urgency + 0.1 * intense) * case when (fear > 0.2)::int + (anger > 0.2)::int + (urgency > 0.2)::int >= 2 then 1.5 else 1.0 end * case when intense > 0.5 then 1.2 else 1.0 end) as e from sh)"""
 
 
-@query("d24_synchronized_emotion", f"with {EVENTS}, {EMOTION} select topic, round(fear, 6) as fear, round(anger, 6) as anger, round(urgency, 6) as urgency, round(intense, 6) as intense, round(e, 6) as emotion_score from emotion")
+@query("d24_synchronized_emotion", f"with {EVENTS}, {EMOTION} select topic, round(fear, 6) as fear, round(anger, 6) as anger, round(urgency, 6) as urgency, round(intense, 6) as intense, round(e, 6) as emotion_score, e > 0.4 as synchronized from emotion")
 def d24(spark, sf_dir):
     return detect.synchronized_emotion(event_claims(spark, sf_dir))
 
 
-CARTEL = """cited as (select rel_type as topic, dst % 17 as source, count(*) as k from edges where rel_type <> 'SUPPORTS' group by 1, 2)"""
+CARTEL = """cited as (select cites.topic, c.source, count(*) as k from cites join claims c on c.claim_id = dst group by 1, 2),
+cartel1 as (select topic, max(k) as top, cast(sum(k) as bigint) as n, arg_max(source, (k, -source)) as top_source from cited group by 1),
+cartel as (select topic, n as n_citations, top_source as top_cited, round(top / n, 6) as share, cast(case when n >= 3 then case when top / n > 0.6 then 0.9 when top / n > 0.4 then 0.6 when top / n > 0.2 then 0.3 else 0.1 end end as double) as cartel_score, top / n > 0.4 as cartel from cartel1)"""
 
 
-@query("d22_citation_cartel", f"with {EDGES}, {CARTEL}, t as (select topic, max(k) as top, cast(sum(k) as bigint) as n, arg_max(source, (k, -source)) as top_source from cited group by 1) select topic, n, top_source, round(top / n, 6) as share, cast(case when n >= 3 then case when top / n >= 0.6 then 0.9 when top / n >= 0.4 then 0.6 when top / n >= 0.2 then 0.3 else 0 end end as double) as cartel_score from t")
+def _cartel(spark, sf_dir):
+    return detect.citation_cartel(cites(spark, sf_dir), event_claims(spark, sf_dir).selectExpr("claim_id as node", "source"))
+
+
+@query("d22_citation_cartel", f"with {EVENTS}, {CITES}, {CARTEL} select * from cartel")
 def d22(spark, sf_dir):
-    e = part_edges(spark, sf_dir).where("rel_type <> 'SUPPORTS'").selectExpr("rel_type as topic", "dst")
-    return detect.citation_cartel(e, e.select("dst").distinct().selectExpr("dst as node", "dst % 17 as source"))
+    return _cartel(spark, sf_dir)
+
+
+LANGUAGE = """cross_pairs as (select a.topic, list_cosine_similarity(a.embedding, b.embedding) as s from vectors a join vectors b on a.topic = b.topic and a.claim_id < b.claim_id and a.source <> b.source),
+language1 as (select topic, count(*) as pairs, count(*) filter (s > 0.85) as high_pairs, count(*) filter (s > 0.7) as medium_pairs, avg(s) as m, max(s) as x from cross_pairs group by 1),
+language as (select topic, pairs, high_pairs, medium_pairs, round(m, 6) as mean_similarity, round(x, 6) as max_similarity,
+ round(least(case when x > 0.95 then 0.1 else 0 end + case when high_pairs >= 50 then 0.9 when high_pairs >= 20 then 0.7 when high_pairs >= 10 then 0.5 when high_pairs >= 5 then 0.3 when medium_pairs >= 50 then 0.5 when medium_pairs >= 20 then 0.3 else least(m, 0.2) end, 1.0), 6) as language_score from language1)"""
+
+
+@query("d21_language_similarity", f"with {EVENTS}, {VECTORS}, {LANGUAGE} select * from language")
+def d21_pairs(spark, sf_dir):
+    return detect.language_similarity(claim_vectors(spark, sf_dir))
+
+
+@query("r8_vector_join", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 5) as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.4")
+def r8(spark, sf_dir):
+    return vector_join(table(spark, sf_dir, "embeddings"), "vec_id", 0.4).withColumn("similarity", F.round("similarity", 5))
 
 
 @query("d21_language_average", """
@@ -274,16 +299,36 @@ def d21(spark, sf_dir):
     return detect.language_average(table(spark, sf_dir, "embeddings").selectExpr("'all' as topic", "label as source", "embedding"))
 
 
-@query("d26_coordination_score", f"""with {EVENTS}, {BURST}, {CENTRAL}, {EMOTION},
-j as (select topic, cast(burst_score as double) as burst_score, central_score, round(e, 6) as emotion_score from burst2 join central using (topic) join emotion using (topic)),
-t as (select *, 0.25 * coalesce(burst_score, 0) + 0.15 * central_score + 0.15 * emotion_score as total, case when burst_score is null then 0.30 else 0.55 end as used from j),
-u as (select topic, burst_score, central_score, emotion_score, round(total / used, 6) as score, (cast(coalesce(burst_score, 0) > 0 as int) + cast(central_score > 0 as int) + cast(emotion_score > 0 as int)) / 5 as c from t)
-select topic, burst_score, central_score, emotion_score, score, round(case when c > 0 then c else 0.5 end, 6) as confidence, case when score >= 0.7 then 'HIGH' when score >= 0.4 then 'MODERATE' when score >= 0.2 then 'LOW' else 'MINIMAL' end as severity from u""")
-def d26(spark, sf_dir):
+SIGNALS = f"""{BURST}, {CENTRAL}, {EMOTION}, {CITES}, {CARTEL}, {VECTORS}, {LANGUAGE},
+signals as (select topic, burst_score, language_score, cartel_score, round(e, 6) as emotion_score, central_score from emotion left join burst2 using (topic) left join central using (topic) left join cartel using (topic) left join language using (topic))"""
+
+
+def _signals(spark, sf_dir):
+    """D20-D22, D24, D25 of each topic; a signal without data is null."""
     claims = event_claims(spark, sf_dir)
-    parts = [detect.temporal_burst(claims).select("topic", "burst_score"), detect.source_centralization(claims).select("topic", "central_score"), detect.synchronized_emotion(claims).select("topic", "emotion_score")]
-    signals = parts[0].join(parts[1], "topic").join(parts[2], "topic")
-    return detect.coordination_score(signals, {k: detect.COORDINATION[k] for k in ("burst_score", "central_score", "emotion_score")})
+    out = detect.synchronized_emotion(claims).select("topic", "emotion_score")
+    for part, score in ((detect.temporal_burst(claims), "burst_score"), (detect.language_similarity(claim_vectors(spark, sf_dir)), "language_score"), (_cartel(spark, sf_dir), "cartel_score"), (detect.source_centralization(claims), "central_score")):
+        out = out.join(part.select("topic", score), "topic", "left")
+    return out
+
+
+@query("d26_coordination_score", f"""with {EVENTS}, {SIGNALS},
+t as (select *, 0.25 * coalesce(burst_score, 0) + 0.25 * coalesce(language_score, 0) + 0.2 * coalesce(cartel_score, 0) + 0.15 * coalesce(emotion_score, 0) + 0.15 * coalesce(central_score, 0) as total,
+ 0.25 * (burst_score is not null)::int + 0.25 * (language_score is not null)::int + 0.2 * (cartel_score is not null)::int + 0.15 * (emotion_score is not null)::int + 0.15 * (central_score is not null)::int as used,
+ (coalesce(burst_score > 0, false)::int + coalesce(language_score > 0, false)::int + coalesce(cartel_score > 0, false)::int + coalesce(emotion_score > 0, false)::int + coalesce(central_score > 0, false)::int) / 5 as c from signals),
+u as (select *, round(cast(case when used > 0 and used < 1 then total / used else total end as double), 6) as score from t)
+select topic, burst_score, language_score, cartel_score, emotion_score, central_score, score, round(cast(case when c > 0 then c else 0.5 end as double), 6) as confidence, case when score >= 0.8 then 'CRITICAL' when score >= 0.6 then 'HIGH' when score >= 0.4 then 'MODERATE' when score >= 0.2 then 'LOW' else 'MINIMAL' end as severity from u""")
+def d26(spark, sf_dir):
+    return detect.coordination_score(_signals(spark, sf_dir), detect.COORDINATION)
+
+
+@query("d27_coordination_v1", f"""with {EVENTS}, {SIGNALS}, v as (select topic, round(cast(case when cluster >= 50 and r > 0.5 then 0.9 when cluster >= 30 and r > 0.4 then 0.7 when cluster >= 20 and r > 0.3 then 0.5 when cluster >= 10 and r > 0.2 then 0.3 else r * 0.5 end as double), 6) as burst_v1 from burst1)
+select topic, burst_v1, round(cast(0.25 * coalesce(burst_v1, 0) + 0.25 * coalesce(language_score, 0) + 0.2 * coalesce(cartel_score, 0) + 0.15 * coalesce(emotion_score, 0) + 0.15 * coalesce(central_score, 0) as double), 6) as score,
+ round(cast((coalesce(burst_v1 > 0, false)::int + coalesce(language_score > 0, false)::int + coalesce(cartel_score > 0, false)::int + coalesce(emotion_score > 0, false)::int + coalesce(central_score > 0, false)::int) / 5 as double), 6) as confidence from signals left join v using (topic)""")
+def d27(spark, sf_dir):
+    v1 = detect.temporal_burst(event_claims(spark, sf_dir)).select("topic", detect.burst_score_v1("cluster", "n_dated").alias("burst_v1"))
+    weights = {("burst_v1" if k == "burst_score" else k): w for k, w in detect.COORDINATION.items()}
+    return detect.coordination_v1(_signals(spark, sf_dir).join(v1, "topic", "left"), weights).select("topic", "burst_v1", "score", "confidence")
 
 
 PAIRS = f"""{PLACES},
@@ -348,7 +393,10 @@ def g11(spark, sf_dir):
     return graph.chains(ring_edges(spark, sf_dir), 100)
 
 
-@query("g13_cascades", f"with {RING} select x.src as node, count(distinct x.dst) as n1, count(distinct y.dst) as n2, count(distinct x.dst) * count(distinct y.dst) as magnitude from ring x join ring y on x.dst = y.src group by 1 having count(distinct x.dst) >= 3 and count(distinct y.dst) >= 5")
+CASCADES = "e as (select distinct src, dst from ring), one as (select src, count(*) as n1 from e group by 1), two as (select x.src, count(distinct y.dst) as n2 from e x join e y on x.dst = y.src and x.src <> y.dst group by 1), casc as (select src as node, n1, n2, n1 * n2 as magnitude from one join two using (src) where n1 >= 3 and n2 >= 5)"
+
+
+@query("g13_cascades", f"with {RING}, {CASCADES} select * from casc order by magnitude desc, node limit 20")
 def g13(spark, sf_dir):
     return graph.cascades(ring_edges(spark, sf_dir))
 
