@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from claimweave.functions.scoring import goldfinger, haversine_km, ladder, weighted_mean
+from claimweave.functions.scoring import cosine, goldfinger, haversine_km, ladder, weighted_mean
 from claimweave.functions.vectors import pair_stats
 
 DAY_US = 86_400_000_000
@@ -260,3 +260,83 @@ def pattern_complexity(claims: DataFrame, by: list[str], levels: list[tuple[floa
     for value, words in reversed(levels):
         score = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(float(value))).otherwise(score)
     return claims.groupBy(*by).agg(F.max(score).alias("complexity"))
+
+
+def semantic_indicators(claims: DataFrame, patterns: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """claim_id, category, similarity: the category with the include pattern nearest to a claim's vector, at least the threshold; a claim as near to an exclude pattern of it is vetoed.
+
+    claims: claim_id, embedding; patterns: category, kind (include, exclude), embedding, a lexicon of bounded size (refused over 10,000 rows).
+    """
+    if patterns.limit(10_001).count() > 10_000:
+        raise ValueError("the pattern lexicon has over 10,000 rows")
+    met = claims.select("claim_id", "embedding").crossJoin(F.broadcast(patterns.select("category", "kind", F.col("embedding").alias("_p")))).withColumn("s", cosine("embedding", "_p"))
+    per = met.groupBy("claim_id", "category").agg(F.max(F.when(F.col("kind") == "include", F.col("s"))).alias("yes"), F.max(F.when(F.col("kind") == "exclude", F.col("s"))).alias("no"))
+    good = per.where((F.col("yes") >= threshold) & (F.coalesce("no", F.lit(-1.0)) < threshold))
+    return good.groupBy("claim_id").agg(F.min_by("category", F.struct(-F.col("yes"), F.col("category"))).alias("category"), F.round(F.max("yes"), 5).alias("similarity"))
+
+
+def suppression_v1(claims: DataFrame, cites: DataFrame, dismissal: list[str], emotional: list[str], mismatch: list[str]) -> DataFrame:
+    """Per topic the first version's five signals and their score, weighted .15 .15 .10 .30 .30.
+
+    meta: 0.6 of the META share plus 0.4 of META claims with a dismissal word; isolation: citations that leave the topic over
+    all; avoidance: META claims without citation over META; shares of claims with an emotional or a mismatch word. Nothing
+    to divide by gives 0. claims: claim_id, topic, claim_text, claim_type, n_citations; cites: topic, src, dst.
+    """
+    low = F.lower("claim_text")
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    is_meta = F.col("claim_type") == "META"
+    meta, n = F.count_if(is_meta), F.count("*")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = claims.groupBy("topic").agg(
+        (0.6 * meta / n + 0.4 * zero(F.try_divide(F.count_if(is_meta & has(dismissal)), meta))).alias("meta"), zero(F.try_divide(F.count_if(is_meta & (F.col("n_citations") == 0)), meta)).alias("avoidance"),
+        (F.count_if(has(emotional)) / n).alias("emotional"), (F.count_if(has(mismatch)) / n).alias("mismatch"),
+    )
+    out = cites.join(claims.select(F.col("claim_id").alias("dst"), F.col("topic").alias("_to")), "dst").groupBy("topic").agg((F.count_if(F.col("topic") != F.col("_to")) / F.count("*")).alias("isolation"))
+    full = base.join(out, "topic", "left").withColumn("isolation", zero(F.col("isolation")))
+    score = F.expr("0.15D * meta + 0.15D * isolation + 0.1D * avoidance + 0.3D * emotional + 0.3D * mismatch")
+    return full.select("topic", *(F.round(c, 6).alias(c) for c in ("meta", "isolation", "avoidance", "emotional", "mismatch")), F.round(score, 6).alias("score"))
+
+
+def location_groups(claims: DataFrame, locations: str = "locations") -> DataFrame:
+    """Per topic and place its claims, mean latitude and longitude, first and last date. locations: array<struct<name, lat, lon>>; places without a name go."""
+    each = claims.select("topic", "claim_id", "ts", F.explode(locations).alias("l")).where("l.name is not null")
+    return each.groupBy("topic", F.col("l.name").alias("location")).agg(F.count("*").alias("n_claims"), F.round(F.avg("l.lat"), 6).alias("lat"), F.round(F.avg("l.lon"), 6).alias("lon"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+# The words of each culture, in order, and the contact of pairs of cultures.
+CULTURES = {"egyptian": ["egypt", "cairo", "nile", "pharaoh"], "greek": ["greece", "athens", "sparta", "delphi"], "roman": ["rome", "italy", "roman"], "mesopotamian": ["mesopotamia", "babylon", "sumerian", "iraq"], "chinese": ["china", "chinese", "beijing", "yellow river"], "indian": ["india", "indian", "indus", "ganges"], "mesoamerican": ["mexico", "maya", "aztec", "olmec", "teotihuacan"], "andean": ["peru", "inca", "bolivia", "andes", "titicaca"], "polynesian": ["hawaii", "tahiti", "samoa", "easter island"], "persian": ["persia", "iran", "persian"]}
+CONTACTS = {("greek", "roman"): 0.9, ("egyptian", "greek"): 0.7, ("mesopotamian", "egyptian"): 0.6, ("chinese", "mongolian"): 0.8, ("indian", "chinese"): 0.5, ("persian", "greek"): 0.6, ("roman", "egyptian"): 0.7, ("mesoamerican", "egyptian"): 0.0, ("andean", "egyptian"): 0.0, ("mesoamerican", "mesopotamian"): 0.0, ("andean", "mesopotamian"): 0.0, ("polynesian", "andean"): 0.1}
+
+
+def culture(*texts: Column, cultures: dict[str, list[str]] | None = None) -> Column:
+    """The first culture in order with a word in the first text that has any; unknown otherwise."""
+    def first(text):
+        out = F.lit(None).cast("string")
+        for name, words in reversed((cultures or CULTURES).items()):
+            out = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)), name).otherwise(out)
+        return out
+
+    return F.coalesce(*map(first, texts), F.lit("unknown"))
+
+
+def cultural_isolation(one: Column, other: Column, contacts: dict[tuple[str, str], float] | None = None) -> Column:
+    """1 less the contact of two cultures, in either order; pairs not listed have 0.3."""
+    level = F.lit(0.3)
+    for (a, b), x in (contacts or CONTACTS).items():
+        level = F.when(((one == a) & (other == b)) | ((one == b) & (other == a)), x).otherwise(level)
+    return F.round(1 - level, 6)
+
+
+def place_similarity(vectors: DataFrame) -> DataFrame:
+    """Topic, location1, location2, mean_similarity, similarity_score of each pair of a topic's places.
+
+    The mean cosine of cross pairs is the product of the places' mean unit vectors, so a place is one vector. Score: 0.95 over
+    0.85, 0.8 over 0.75, 0.6 over 0.65, else half the mean. vectors: topic, location, embedding of unit length.
+    """
+    n = vectors.groupBy("topic", "location").agg(F.count("*").alias("k"))
+    sums = vectors.select("topic", "location", F.posexplode("embedding").alias("i", "x")).groupBy("topic", "location", "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    mean = sums.join(n, ["topic", "location"]).select("topic", "location", "i", (F.col("s") / F.col("k")).alias("s"))
+    a, b = mean.withColumnsRenamed({"location": "location1", "s": "s1"}), mean.withColumnsRenamed({"location": "location2", "s": "s2"})
+    got = a.join(b, ["topic", "i"]).where("location1 < location2").groupBy("topic", "location1", "location2").agg(F.sum(F.expr("s1 * s2")).alias("m"))
+    score = F.when(F.col("m") > 0.85, 0.95).when(F.col("m") > 0.75, 0.8).when(F.col("m") > 0.65, 0.6).otherwise(F.col("m") * 0.5)
+    return got.select("topic", "location1", "location2", F.round("m", 6).alias("mean_similarity"), F.round(score, 6).alias("similarity_score"))

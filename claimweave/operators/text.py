@@ -108,3 +108,111 @@ def map_relation(verb: Column) -> Column:
     for kind, verbs in VERBS.items():
         out = F.when(v.isin(verbs), kind).otherwise(out)
     return out
+
+
+def chunk_sentences(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
+    """(doc_id, text) -> doc_id, seq, chunk: whole sentences packed up to `size` characters, trailing ones of up to `overlap` carried over.
+
+    A sentence longer than size is a chunk of its own. Null texts give none, an empty text one empty chunk.
+    """
+    kept = "aggregate(reverse(s.now), named_struct('on', true, 'n', 0, 'out', cast(array() as array<string>)), (k, x) -> if(k.on and k.n + length(x) <= {o}, named_struct('on', true, 'n', k.n + length(x), 'out', concat(array(x), k.out)), named_struct('on', false, 'n', k.n, 'out', k.out)), k -> named_struct('n', k.n, 'out', k.out))".format(o=overlap)
+    # the carry is bound by a one-element transform, so that it is computed once
+    cut = f"element_at(transform(array({kept}), c -> named_struct('done', concat(s.done, array(array_join(s.now, ' '))), 'now', concat(c.out, array(w)), 'n', c.n + length(w))), 1)"
+    go = f"if(s.n + length(w) > {size} and size(s.now) > 0, {cut}, named_struct('done', s.done, 'now', concat(s.now, array(w)), 'n', s.n + length(w)))"
+    fold = f"aggregate(split(text, '(?<=[.!?])\\\\s+'), named_struct('done', cast(array() as array<string>), 'now', cast(array() as array<string>), 'n', 0), (s, w) -> {go}, s -> concat(s.done, array(array_join(s.now, ' '))))"
+    return docs.where("text is not null").selectExpr("doc_id", f"posexplode({fold}) as (seq, chunk)")
+
+
+def basename(path: Column) -> Column:
+    """T4: the last component of a path, either slash."""
+    return F.element_at(F.split(path, r"[/\\]"), -1)
+
+
+def shorten_path(path: Column, keep: int = 3) -> Column:
+    """T4: the last `keep` components of a path."""
+    parts = F.split(path, r"[/\\]")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - keep + 1, F.lit(1)), F.lit(keep)), "/")
+
+
+# The forms of claims.
+CLAIM_PATTERNS = [
+    r"(?:shows?|demonstrates?|proves?|indicates?|suggests?|reveals?) that .{20,200}[.!]",
+    r"(?:according to|based on|research shows|studies indicate) .{20,200}[.!]",
+    r"(?:found|discovered|observed|concluded) that .{20,200}[.!]",
+    r"(?:is|are|was|were) (?:significantly|dramatically|substantially) .{20,150}[.!]",
+    r"(?:can|could|may|might) (?:result in|lead to|cause) .{20,150}[.!]",
+    r"(?:effective|ineffective) (?:in|for|at) .{20,150}[.!]",
+    r"(?:associated with|correlated with|linked to) .{20,150}[.!]",
+]
+
+
+def regex_claims(docs: DataFrame, patterns: list[str] | None = None, least: int = 30, per_doc: int = 20) -> DataFrame:
+    """doc_id, rank, claim_text, confidence 0.5: the first match of each claim form in each sentence, by form, then sentence, the first per_doc.
+
+    Sentences keep their end mark, which the forms ask for; a match has at least `least` characters.
+    """
+    forms = F.array(*(F.struct(F.lit(k).alias("form"), F.nullif(F.regexp_extract("s", f"(?is){p}", 0), F.lit("")).alias("hit")) for k, p in enumerate(patterns or CLAIM_PATTERNS)))
+    pieces = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])")).alias("seq", "s"))
+    hits = pieces.select("doc_id", "seq", F.explode(forms).alias("x")).select("doc_id", "seq", "x.form", F.trim("x.hit").alias("claim_text")).where(F.length("claim_text") >= least)
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("form", "seq"))).where(F.col("rank") <= per_doc)
+    return ranked.select("doc_id", "rank", "claim_text", F.lit(0.5).alias("confidence"))
+
+
+def parse_model_json(raw: Column, schema: str = "array<struct<claim_text: string, claim_type: string, confidence: double>>") -> Column:
+    """The payload in a model's text: code fences and words around the outermost brackets go, trailing commas too.
+
+    Where that is no JSON of the schema, the claim_text fields found in the text are recovered; null if there are none.
+    """
+    body = F.regexp_extract(F.regexp_replace(raw, r"```(?:json)?", ""), r"(?s)(\[.*\]|\{.*\})", 1)
+    body = F.regexp_replace(body, r",\s*([\]}])", "$1")
+    body = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    got = F.from_json(body, schema)
+    good = F.filter(got, lambda x: x["claim_text"].isNotNull())
+    saved = F.transform(F.regexp_extract_all(raw, F.lit(r'"claim_text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1), lambda t: F.struct(t.alias("claim_text"), F.lit(None).cast("string").alias("claim_type"), F.lit(None).cast("double").alias("confidence")))
+    return F.when(F.size(good) > 0, good).when(F.size(saved) > 0, saved)
+
+
+def resolve_date(day: Column, year: Column, name: Column, text: Column, created: Column) -> Column:
+    """The year of a claim: that of its own date, else its year (BCE negative), else one in the file's name, else one in its text, else that of its record.
+
+    Dates are ISO text, a year alone or `n BCE`. Years in names and texts are 1800 to 2029; one after $ or before troops,
+    men, people, soldiers or dollars is a number.
+    """
+    bce = -F.nullif(F.regexp_extract(day, r"(?i)^\s*(\d{1,5})\s*BCE?", 1), F.lit("")).cast("int")
+    plain = F.nullif(F.regexp_extract(day, r"^\s*(-?\d{4})(?:$|-|/|\s)", 1), F.lit("")).cast("int")
+    named = F.nullif(F.regexp_extract(name, r"(?<!\d)(1[89]\d\d|20[012]\d)(?!\d)", 1), F.lit("")).cast("int")
+    said = F.nullif(F.regexp_extract(text, r"(?i)(?<![\d$,.])(1[89]\d\d|20[012]\d)(?![\d,])(?!\s*(?:troops|men|people|soldiers|dollars))", 1), F.lit("")).cast("int")
+    return F.coalesce(bce, plain, year.cast("int"), named, said, F.year(created))
+
+
+def propagate_soft_date(claims: DataFrame, dates: str = "dates", chunk_date: str = "chunk_date") -> DataFrame:
+    """Claims without a date of their own take their chunk's, as soft_date and as a date of type document_context, confidence 0.8.
+
+    dates: array<struct<date, confidence, type>>; a null array counts as empty. Without a chunk date nothing changes.
+    """
+    own = F.coalesce(F.size(dates), F.lit(0)) > 0
+    given = F.array(F.struct(F.col(chunk_date).cast("string").alias("date"), F.lit(0.8).alias("confidence"), F.lit("document_context").alias("type")))
+    lent = ~own & F.col(chunk_date).isNotNull()
+    return claims.withColumn("soft_date", F.when(lent, F.col(chunk_date).cast("string"))).withColumn(dates, F.when(lent, given).otherwise(F.col(dates)))
+
+
+def has_payload(payload: Column) -> Column:
+    """Whether a JSON text holds anything: not null, blank, {} or null."""
+    return F.coalesce(~F.trim(payload).isin("", "{}", "null"), F.lit(False))
+
+
+def temporal_context(docs: DataFrame, eras: list[tuple[str, str]], known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, path, text) -> doc_id, publication_year, confidence, method, era, soft_date.
+
+    The publication year is that of a known document (doc_id, year; 0.98), else one after "published", "copyright" or (c)
+    in the text (0.9), else one in the path (0.7). era: the period of eras (name, regex) most often in the text, ties the
+    first; else the decade of the publication year. soft_date is the publication year, else null.
+    """
+    k = docs.join(known.select("doc_id", F.col("year").alias("known")), "doc_id", "left") if known is not None else docs.withColumn("known", F.lit(None).cast("int"))
+    said = F.nullif(F.regexp_extract("text", r"(?i)(?:published|copyright|©|\(c\))\D{0,12}(1[5-9]\d\d|20[012]\d)", 1), F.lit("")).cast("int")
+    named = F.nullif(F.regexp_extract("path", r"(?<!\d)(1[5-9]\d\d|20[012]\d)(?!\d)", 1), F.lit("")).cast("int")
+    counts = F.array(*(F.struct(F.size(F.regexp_extract_all("text", F.lit(f"(?i){rx}"), 0)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("era")) for i, (name, rx) in enumerate(eras))) if eras else F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("o"), F.lit("").alias("era")))
+    best = F.array_max(counts)
+    out = k.select("doc_id", F.coalesce("known", said, named).alias("publication_year"), F.when(F.col("known").isNotNull(), 0.98).when(said.isNotNull(), 0.9).when(named.isNotNull(), 0.7).alias("confidence"), F.when(F.col("known").isNotNull(), "known").when(said.isNotNull(), "text").when(named.isNotNull(), "filename").alias("method"), best.alias("b"))
+    era = F.when(F.col("b.n") > 0, F.col("b.era")).otherwise(F.concat((F.floor(F.col("publication_year") / 10) * 10).cast("string"), F.lit("s")))
+    return out.select("doc_id", "publication_year", "confidence", "method", era.alias("era"), F.col("publication_year").cast("string").alias("soft_date"))

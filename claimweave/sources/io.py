@@ -44,3 +44,51 @@ def infer_category(path: Column, rules: list[tuple[str, str]], otherwise: str =
         hit = F.contains(F.lower(path), F.lit(word))
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
+
+
+def import_metadata(documents: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """S3: doc, entity, frequency: mentions by name joined to known documents (doc, name) and entities (entity, name); comma lists are split, blank names dropped."""
+    names = mentions.select("doc_name", F.explode(F.split("entity_names", ",")).alias("n")).select("doc_name", F.trim("n").alias("n")).where("n <> ''")
+    d, e = documents.select("doc", F.col("name").alias("doc_name")), entities.select("entity", F.col("name").alias("n"))
+    return names.join(d, "doc_name").join(e, "n").groupBy("doc", "entity").agg(F.count("*").alias("frequency"))
+
+
+def import_graph(edges: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Edges after an import of src, dst, rel_type, weight: weights of one edge are added; rows without both ends go."""
+    both = edges.select("src", "dst", "rel_type", "weight").unionByName(incoming.select("src", "dst", "rel_type", "weight")).where("src is not null and dst is not null")
+    return both.groupBy("src", "dst", "rel_type").agg(F.sum("weight").alias("weight"))
+
+
+def write_extracted(extracted: DataFrame, path: str) -> None:
+    """Extraction results as JSON lines, nulls kept."""
+    extracted.write.option("ignoreNullFields", False).json(path)
+
+
+def read_extracted(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_extracted wrote; bad lines are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+PROFILE = """name string, scoring struct<mode string, happenstance_max int, coincidence_max int, enemy_action_base double, logarithmic_factor double, max_score double>,
+ signal_weights map<string, double>, score_levels map<string, double>, min_claims int, patterns map<string, struct<include array<string>, exclude array<string>>>"""
+
+
+def load_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The calibration profiles in a folder of JSON files, a row each; fields that a file lacks are null."""
+    return spark.read.schema(PROFILE).option("multiLine", True).json(folder)
+
+
+def listing_counts(listing: DataFrame, known: DataFrame, per_chunk: int = 4000) -> DataFrame:
+    """Extension, n_new, n_known, bytes, chunks (estimated): a folder's files (path, length) against the known ones, by base name."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    names = known.select(base(F.col("source_file")).alias("_name")).distinct().withColumn("_known", F.lit(True))
+    got = listing.withColumn("_name", base(F.col("path"))).join(names, "_name", "left")
+    return got.groupBy(F.lower(F.regexp_extract("_name", r"\.([^.]+)$", 1)).alias("extension")).agg(F.count_if(F.col("_known").isNull()).alias("n_new"), F.count("_known").alias("n_known"), F.sum("length").alias("bytes"), F.sum(F.ceil(F.col("length") / per_chunk)).alias("chunks"))
+
+
+def infer_domain(path: Column, rules: list[tuple[str, str, float]], otherwise: str = "general") -> Column:
+    """Domain and confidence of the first keyword that the path contains; the default at 0.3."""
+    out = F.struct(F.lit(otherwise).alias("domain"), F.lit(0.3).alias("confidence"))
+    for word, domain, sure in reversed(rules):
+        out = F.when(F.contains(F.lower(path), F.lit(word)), F.struct(F.lit(domain).alias("domain"), F.lit(sure).alias("confidence"))).otherwise(out)
+    return out

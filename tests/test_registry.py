@@ -30,7 +30,11 @@ def test_twin(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    got, want = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLE[name]).df()
+    got = QUERIES[name](spark, sf).toPandas()
+    if name not in ORACLE:  # beyond SQL: held against known cases in test_golden.py and test_wide.py
+        assert len(got) > 0
+        return
+    want = con.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
