@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import SPACES, text_id, written
+from claimweave.llm.common import SPACES, written
 
 RISK = 0.05
 LEVEL = 0.05
@@ -28,6 +28,7 @@ RULES = {
     "shouts": ("n_shouts / n_words", [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8]),
     "long_words": ("word_chars / n_words", [7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0]),
 }
+MOST_BROADCAST = 50_000  #: cutoffs sent to every task; more are joined as the planner sees fit
 _COUNTED = {"n_symbols": "[A-Z!]+", "n_capitals": "[^A-Z]+", "n_shouts": "[^!]+"}  #: what to strip from the marks of a text
 
 
@@ -91,20 +92,27 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
     only the base decides. Other columns are ignored; an empty table gives no rows; repeated rows are
     judged alike. Words are code-point runs outside space and control 9-13; long texts are counted whole.
     """
-    stats = written(base_counts(docs.select("doc_id", F.coalesce("lang", F.lit("-")).alias("stratum"), "text")), "counts")
+    stats = written(base_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text")), "counts")
+    out = _limited(stats, labels, risk, level).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(F.col("rejected_by")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+
+
+def _limited(stats: DataFrame, labels: DataFrame, risk: float, level: float) -> DataFrame:
+    """Adds rejected_by, the first rule whose cutoff a row exceeds, to a written table of doc_id, stratum and counts. A null stratum is one of its own."""
     chosen = written(cutoffs(stats, labels, risk, level), "cutoffs")
-    limits = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    limits = chosen.groupBy(F.col("stratum").alias("of")).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    few = F.broadcast if chosen.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else (lambda x: x)
     hits = [F.when(F.expr(f"{e} > cut_{r}"), F.lit(r)) for r, (e, _) in RULES.items()]
-    out = stats.join(limits, "stratum", "left").withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(F.coalesce(*hits)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+    return stats.join(few(limits), F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("rejected_by", F.coalesce(*hits))
 
 
 def kept_only(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """The rows of docs that pass, with all their columns: the chosen cutoffs are applied to each row's own counts."""
-    stats = written(base_counts(docs.select("doc_id", F.coalesce("lang", F.lit("-")).alias("stratum"), *text_id(), "text")), "counts")
-    limits = cutoffs(stats, labels, risk, level).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    hit = F.greatest(F.lit(False), *(F.coalesce(F.expr(f"{e} > cut_{r}"), F.lit(False)) for r, (e, _) in RULES.items()))
-    bad = written(stats.join(limits, "stratum", "left").where(F.col("base_failed") | hit).select("stratum", F.col("x1").alias("bad1"), F.col("x2").alias("bad2")).distinct(), "rejected")
-    x1, x2 = text_id()
-    same = (x1 == F.col("bad1")) & (x2 == F.col("bad2")) & (F.coalesce("lang", F.lit("-")) == F.col("stratum"))  # whether a row goes hangs on its text and language alone
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs that pass, with all their columns: the chosen cutoffs are applied to each row's own counts.
+
+    Rows are counted once and written with their counts; the cutoffs are learned from the counts alone, so no
+    text is shuffled. Null and empty texts go; repeated rows stay or go together; ids may be null or repeated;
+    an empty table gives no rows.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("lang").alias("stratum"), "text")
+    passed = _limited(written(base_counts(rows), "counted"), labels, risk, level).where("not base_failed and rejected_by is null")
+    return passed.select("row.*")
