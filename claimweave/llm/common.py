@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.functions import workers
+from claimweave.functions.tables import shared_dir, written  # noqa: F401  for the operators
+
 #: Words are runs of anything but these characters (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-BATCH_ROWS = 1_000  #: rows and bytes of the batches that Python workers get
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20  #: of the batches that Python workers get
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,41 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package, and bounds the Arrow batches they get, as texts may be long.
-
-    On a cluster, submit the package with --py-files or install it.
-    """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    now = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in now.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, now) if x)
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, which a cluster must name."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="claimweave-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation.
-
-    The table is deleted when the application ends.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    """workers.ready with smaller batches, as texts may be long."""
+    workers.ready(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_id() -> list[F.Column]:

@@ -1,40 +1,3 @@
-"""Connected components by alternating large-star and small-star rounds, each cut by a written table."""
+"""Connected components, shared with the graph operators."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from claimweave.llm.common import written
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u")
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, v) links of longs -> (node, component): component is the smallest node reachable; unlinked nodes are absent.
-
-    Self-links and repeats are allowed; null ends are dropped; no links give no rows. Hubs are star
-    centres: minima are pre-aggregated, and the join on a hub is one that Spark can split.
-    """
-    now = written(edges.select("u", "v").where("u <> v").distinct(), "links")
-    before = None
-    for _ in range(rounds):
-        now = written(_small_star(_large_star(now)).distinct(), "links")
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("links did not settle; raise rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
+from claimweave.operators.components import components  # noqa: F401
