@@ -12,12 +12,12 @@ the chunk totals, so no source is ever gathered in one task.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import accumulate
+from math import inf
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from claimweave.llm.common import SPACES, written
@@ -28,7 +28,7 @@ MOST_EPOCHS = 2
 BLOCK = 4096  #: tokens of a block, fewer where the whole mix is small
 SLOTS_LEAST = 20_000
 MOST_SOURCES = 100_000  #: sources are named on the driver; more are refused
-CHUNK = 20_000  #: documents or slots of a chunk, about
+CHUNK = 2_000  #: documents or slots of a chunk, about
 _GOLDEN = 0.6180339887498949
 
 
@@ -66,9 +66,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     form a source. Empty texts are never taken. Other columns are ignored. An empty table gives no rows.
     The order is a hash of seed, doc_id and text, so reruns agree.
     """
+    return _mixed(docs, weights, share, seed).drop("key")
+
+
+def _key(seed: int) -> F.Column:
+    """A hash of a document, by which its source's documents are shuffled."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, seed: int) -> DataFrame:
+    """mixed() with each row's key."""
     spark = docs.sparkSession
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), "")).cast("long")
-    rows = written(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("o1")), "sizes")
+    rows = written(docs.select("doc_id", "source", size.alias("size"), _key(seed).alias("o1")), "sizes")
     told = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
     if len(told) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -87,7 +97,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     span = F.expr("cast(floor((cast(o as double) / 18446744073709551616D + 0.5D) * chunks) as int)")
     one = _running(some.withColumn("o", F.col("o1")).withColumn("chunk", F.least(span, F.col("chunks") - 1)), ["sid"], ["o1", "doc_id"], "size", "at1")
     two = _running(one.withColumn("o", F.xxhash64(F.lit(seed + 1), "o1", "doc_id", "at1")).withColumn("chunk", F.least(span, F.col("chunks") - 1)), ["sid"], ["o", "doc_id", "at1"], "size", "at2")
-    placed = written(two.select("doc_id", "sid", "size", "source_size", "target", "goal", "at1", "at2"), "placed")
+    placed = written(two.select("doc_id", F.col("o1").alias("key"), "sid", "size", "source_size", "target", "goal", "at1", "at2"), "placed")
     spans = placed.selectExpr("sid", "at1", "goal", "size", "explode(array(at1, source_size + at2)) as lo").selectExpr("sid", "at1", "lo", "least(lo + size, goal) as hi").where("hi > lo")
     cut = spans.selectExpr("sid", "at1", "lo", "hi", f"explode(sequence(lo div {block}, (hi - 1) div {block})) as rank").selectExpr("sid", "at1", "rank", f"least(hi, (rank + 1) * {block}) - greatest(lo, rank * {block}) as words")
 
@@ -96,31 +106,30 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     bounds = list(accumulate(targets[i] / whole for i in held)) if whole else []
     slots = int(whole / block * 1.02 + 40 * len(held) + 40) if held else 0
     point = F.expr(f"pmod((slot + 1) * {_GOLDEN}D, 1.0D)")
-    if len(held) <= 256:
-        pick = F.lit(held[-1] if held else 0)
-        for i, b in list(zip(held, bounds, strict=True))[-2::-1]:
-            pick = F.when(point < b, i).otherwise(pick)
-        named = spark.range(slots).select(F.col("id").alias("slot")).withColumn("sid", pick.cast("int"))
-    else:  # too many for one expression
-        find = F.udf(lambda x: held[min(bisect_right(bounds, x), len(held) - 1)], T.IntegerType())
-        named = spark.range(slots).select(F.col("id").alias("slot")).withColumn("sid", find(point))
+    inner = sorted(set(bounds[:-1]))
+    if inner:  # a binary search, however many sources
+        found = Bucketizer(splits=[-inf, *inner, inf], inputCol="point", outputCol="place").transform(spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")))
+        first = {b: i for i, b in zip(reversed(held[:-1]), reversed(bounds[:-1]), strict=True)}  # of sources with one bound, the first
+        named = found.select("slot", F.element_at(F.array(*(F.lit(x) for x in [*(first[b] for b in inner), held[-1]])), F.col("place").cast("int") + 1).cast("int").alias("sid"))
+    else:
+        named = spark.range(slots).select(F.col("id").alias("slot"), F.lit(held[-1] if held else 0).alias("sid"))
     ranked = _running(named.withColumn("chunk", F.expr(f"cast(slot div {CHUNK} as int)")).withColumn("one", F.lit(1)), ["sid"], ["slot"], "one", "rank")
 
     # blocks the schedule didn't come to are none in practice; if rounding leaves one, it stands at the end
     got = cut.join(ranked.select("sid", F.col("rank").cast("long").alias("rank"), "slot"), ["sid", "rank"], "left")
     taken = got.groupBy("sid", "at1").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    full = placed.join(taken, ["sid", "at1"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
-    none = base.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    full = placed.join(taken, ["sid", "at1"], "left").select("doc_id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+    none = base.where("size = 0").select("doc_id", F.col("o1").alias("key"), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return full.union(none)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = 7) -> DataFrame:
     """The rows of docs as often as the mix takes them, to the nearest whole copy: a document that it takes for less than half goes.
 
-    All columns are kept. Rows with one doc_id share the most that any of them is taken.
+    All columns are kept. Rows with one doc_id and text share the most that any of them is taken; others with its
+    doc_id, null or not, are documents of their own. Texts without words go. An empty table gives no rows.
     """
-    copies = mixed(docs, weights, share, seed).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.expr("cast(floor(taken / greatest(size, 1) + 0.5D) as int)")).alias("copies"))
+    copies = _mixed(docs, weights, share, seed).groupBy("key").agg(F.max(F.expr("cast(floor(taken / greatest(size, 1) + 0.5D) as int)")).alias("copies"))
     copies = written(copies.where("copies > 0"), "copies")
-    several = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    again = several.where("copies > 1").withColumn("_copy", F.explode(F.expr("sequence(2, copies)"))).select(*docs.columns)
-    return several.select(*docs.columns).unionByName(again)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(seed).alias("key")).join(copies, "key")
+    return rows.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
