@@ -13,23 +13,32 @@ from claimweave.llm.common import table, written
 from claimweave.llm.queries import vocabulary
 
 
+def _compact(spark: SparkSession) -> None:
+    """Stages' texts are written with Zstandard, which holds no direct buffers of whole pages beside the heap."""
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, whose cutoffs are certified on the labelled documents."""
+    _compact(spark)
     return quality_rules.kept_only(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of documents linked by n-gram Jaccard similarity: the one with the smallest doc_id."""
+    _compact(spark)
     return ngram_join.one_per_component(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
+    _compact(spark)
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    _compact(spark)
     return mixing.mixed_documents(docs)
 
 
