@@ -76,16 +76,28 @@ def chains(edges: DataFrame, top: int | None = None, kinds: list[str] | None = N
     return out.orderBy(F.desc("strength"), *out.columns[:-1]).limit(top) if top else out
 
 
+def _spots(edges: DataFrame, c: str) -> tuple[F.Column, F.Column]:
+    """A node as a word and a bit in it: 64 neighbouring ids share a word if ids are whole numbers, any other id has a word of its own."""
+    if edges.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return F.shiftright(F.col(c).cast("long"), 6), F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
+    return F.col(c), F.lit(1).cast("long")
+
+
 def cascades(edges: DataFrame, first: int = 3, second: int = 5, top: int | None = 20) -> DataFrame:
     """Nodes with enough distinct successors and successors of those, the node itself left out of the latter.
 
-    magnitude is the product of both counts; the `top` largest, ties by node. Two-step ends are made distinct before they are counted.
+    magnitude is the product of both counts; the `top` largest, ties by node. Parallel edges count once and edges with
+    a null end not at all. Successors are held as bits of words, so a path of two steps is a row for each word of the
+    middle's successors, not for each of them, and words of one node are united before they are shuffled.
     """
-    e = edges.select("src", "dst").distinct()
+    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
     n1 = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n1")).where(F.col("n1") >= first)
-    mid = e.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-    ends = e.join(mid, F.col("dst") == F.col("mid")).where("src <> far").select(F.col("src").alias("node"), "far").distinct()
-    two = ends.groupBy("node").agg(F.count("*").alias("n2")).where(F.col("n2") >= second).join(n1, "node")
+    word, bit = _spots(e, "dst")
+    own_word, own_bit = _spots(e, "src")
+    after = e.groupBy(F.col("src").alias("mid"), word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    met = e.join(after, F.col("dst") == F.col("mid")).select(F.col("src").alias("node"), "word", F.when(F.col("word") == own_word, F.col("bits").bitwiseAND(F.bitwise_not(own_bit))).otherwise(F.col("bits")).alias("bits"))
+    ends = met.where("bits <> 0").groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    two = ends.groupBy("node").agg(F.sum(F.bit_count("bits")).alias("n2")).where(F.col("n2") >= second).join(n1, "node")
     out = two.select("node", "n1", "n2", (F.col("n1") * F.col("n2")).alias("magnitude"))
     return out.orderBy(F.desc("magnitude"), "node").limit(top) if top else out
 

@@ -182,6 +182,18 @@ def test_cascade_leaves_the_node_out(spark):
     assert [(r.node, r.n1, r.n2, r.magnitude) for r in graph.cascades(e).collect()] == [(0, 3, 5, 15)]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_cascades_equal_brute_force(spark, kind):
+    ids = [-130, -65, -64, -1, 0, 1, 63, 64, 127, 128, 2**40, 2**40 + 1]
+    edges = [(ids[(i * i + 3 * i) % 12], ids[(5 * i + i // 7) % 12]) for i in range(60)]
+    as_id = str if kind == "string" else int
+    e = spark.createDataFrame([(as_id(a), as_id(b)) for a, b in edges] + [(None, as_id(1)), (as_id(1), None)], f"src {kind}, dst {kind}")
+    after = {a: {as_id(b) for x, b in edges if as_id(x) == a} for a in map(as_id, ids)}
+    want = {(a, len(one), n2) for a, one in after.items() if one and (n2 := len(set().union(*(after[b] for b in one)) - {a}))}
+    assert {(r.node, r.n1, r.n2) for r in graph.cascades(e, 1, 1, None).collect()} == want
+    assert graph.cascades(e.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def cliques(spark):
     pairs = [(a, b) for base in (0, 10, 20) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10), (14, 20)]
