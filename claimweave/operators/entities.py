@@ -55,6 +55,39 @@ def core_name(name: Column) -> Column:
     return F.when(core != "", core).otherwise(name)
 
 
+# Fixed values of T10: patterns of persons and organisations, names that are no persons, concept words, words that make a phrase a concept.
+PERSON_PATTERNS = [r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", r"\bDr\. [A-Z][a-z]+ [A-Z][a-z]+\b", r"\bProf\. [A-Z][a-z]+ [A-Z][a-z]+\b", r"\b[A-Z]\. [A-Z][a-z]+\b", r"\b[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+\b"]
+ORGANIZATION_PATTERNS = [r"\b(?:CDC|NIH|FDA|WHO|EPA|NASA|NSF|DARPA|IEEE|USMC|USAF)\b", r"\bCompanyA\b|\bCompanyB\b|\bCompanyC\b", r"\b[A-Z][a-z]+ (?:University|Institute|Laboratory|Corp|Corporation)\b", r"\bDepartment of [A-Z][a-z]+\b", r"\b(?:Marine Corps|Air Force|Navy|Army)\b"]
+NOT_PERSONS = ["The University", "New York", "United States", "Marine Corps"]
+CONCEPT_WORDS = ["OODA loop", "Boyd cycle", "doctrine", "strategy", "tactics", "resilience", "stress", "ptsd", "depression", "anxiety", "trauma", "neuroscience", "brain", "cortex", "neural", "cognitive", "civilization", "archaeology", "ancient", "artifact", "consciousness", "awareness", "quantum", "reality", "vaccine", "clinical trial", "adverse event", "immune", "inflammation", "gene", "protein", "cell", "molecule", "receptor", "study", "research", "theory", "hypothesis", "mechanism"]
+PHRASE_WORDS = ["loop", "cycle", "theory", "model", "framework"]
+AUTHORS, AUTHOR, JOURNAL, PHRASE = r"(?i)Authors?\s*:\s*([^\n]+)", r"[A-Z][a-z]+(?: [A-Z]\.?)?(?: [A-Z][a-z]+)+", r"(?i)Journal\s*:\s*([^\n]+)", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b"
+
+
+def pattern_entities(chunks: DataFrame, boost: float | Column = 0.0, most: int = 20) -> DataFrame:
+    """(chunk_id, text) -> chunk_id, rank, entity, type, confidence: names found by patterns, the first `most` of a chunk.
+
+    In order: the first 10 authors of an author line and its journal (0.9), persons (0.7), organisations (0.8), the first place
+    of each concept word (0.7), capitalised phrases with a concept's word (0.6); boost is added. Names equal but for case are
+    one name of their type, spelt as found first. Null and empty texts give no rows; repeated rows are chunks of their own.
+    """
+    found = lambda p, of="text": F.regexp_extract_all(of, F.lit(f"(?U){p}"), 0)
+    tagged = lambda names, kind, sure: F.transform(names, lambda n: F.struct(n.alias("entity"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence")))
+    line = F.regexp_replace(F.regexp_extract("text", JOURNAL, 1), r"\s+$", "")
+    persons = F.filter(F.concat(*map(found, PERSON_PATTERNS)), lambda n: ~n.isin(NOT_PERSONS))
+    concepts = F.filter(F.array(*(F.when(F.contains("low", F.lit(w.lower())), F.regexp_extract("text", rf"(?iU)\b{w}\b", 0)) for w in CONCEPT_WORDS)), lambda n: n != "")
+    phrases = F.filter(found(PHRASE), lambda n: F.lower(n).rlike("|".join(PHRASE_WORDS)))
+    names = F.concat(
+        tagged(F.slice(found(AUTHOR, F.regexp_extract("text", AUTHORS, 1)), 1, 10), "Person", 0.9), tagged(F.filter(F.array(line), lambda n: F.length(n) > 5), "Organization", 0.9),
+        tagged(persons, "Person", 0.7), tagged(F.concat(*map(found, ORGANIZATION_PATTERNS)), "Organization", 0.8), tagged(concepts, "Concept", 0.7), tagged(phrases, "Concept", 0.6),
+    )
+    more = boost if isinstance(boost, Column) else F.lit(boost)
+    keyed = chunks.select("chunk_id", "text", more.alias("more"), F.lower("text").alias("low")).select("chunk_id", "more", names.alias("names"))
+    keyed = keyed.withColumn("keys", F.transform("names", lambda n: F.concat(n["type"], F.lit(" "), F.lower(n["entity"]))))
+    first = keyed.select("chunk_id", "more", "names", "keys", F.posexplode(F.slice(F.array_distinct("keys"), 1, most)).alias("rank", "key"))
+    return first.withColumn("n", F.expr("element_at(names, cast(array_position(keys, key) as int))")).select("chunk_id", "rank", "n.entity", "n.type", F.round(F.col("n.confidence") + F.col("more"), 6).alias("confidence"))
+
+
 def hashed_ngrams(texts: pd.Series, size: int = 256) -> list[np.ndarray]:
     """The built-in encoder: counts of the 3-letter pieces of padded lower-case words, hashed into `size` places."""
     import zlib

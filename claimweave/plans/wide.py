@@ -424,3 +424,28 @@ def s9(spark, sf_dir):
 def s10(spark, sf_dir):
     rules = [("/en/", "english", 0.9), ("/de/", "german", 0.8)]
     return table(spark, sf_dir, "pages").select("page_id", io.infer_domain(F.col("url"), rules).alias("x")).select("page_id", "x.domain", "x.confidence")
+
+
+def _t10_sql() -> str:
+    every = lambda ps: " || ".join(f"regexp_extract_all(t, {_quoted(p)})" for p in ps)
+    words = ", ".join(f"regexp_extract(t, {_quoted(rf'(?i)\b{w}\b')})" for w in entities.CONCEPT_WORDS)
+    out = ", ".join(map(_quoted, entities.NOT_PERSONS))
+    return f"""with d as (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') as t from documents),
+p as (select doc_id, [regexp_extract_all(regexp_extract(t, {_quoted(entities.AUTHORS)}, 1), {_quoted(entities.AUTHOR)})[1:10], list_filter([regexp_replace(regexp_extract(t, {_quoted(entities.JOURNAL)}, 1), '\\s+$', '')], lambda x: length(x) > 5),
+  list_filter({every(entities.PERSON_PATTERNS)}, lambda x: x not in ({out})), {every(entities.ORGANIZATION_PATTERNS)}, list_filter([{words}], lambda x: x <> ''),
+  list_filter(regexp_extract_all(t, {_quoted(entities.PHRASE)}), lambda x: regexp_matches(lower(x), '{"|".join(entities.PHRASE_WORDS)}'))] as found from d),
+k as (select doc_id, g, found[g] as names from p, range(1, 7) r(g)),
+u as (select doc_id, g, unnest(names) as entity, generate_subscripts(names, 1) as i from k),
+f as (select doc_id, lower(entity) as low, case when g in (1, 3) then 'Person' when g in (2, 4) then 'Organization' else 'Concept' end as type, min((g, i)) as spot, arg_min(entity, (g, i)) as entity, arg_min(g, (g, i)) as g from u group by 1, 2, 3),
+o as (select *, cast(row_number() over (partition by doc_id order by spot) - 1 as integer) as rank from f)
+select doc_id as chunk_id, rank, entity, type, cast([0.9, 0.9, 0.7, 0.8, 0.7, 0.6][g] as double) as confidence from o where rank < 20"""
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("t10_pattern_entities", _t10_sql())
+def t10(spark, sf_dir):
+    plain = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace("text", "[^\\x00-\\x7F]", " ").alias("text"))
+    return entities.pattern_entities(plain)

@@ -182,6 +182,21 @@ def test_cascade_leaves_the_node_out(spark):
     assert [(r.node, r.n1, r.n2, r.magnitude) for r in graph.cascades(e).collect()] == [(0, 3, 5, 15)]
 
 
+def test_pattern_entities(spark):
+    text = "Authors: Jane Q. Doe, Max Weber\nJournal: Annals of Stress  \nDr. Ann Lee of Stanford University met J. Smith in New York; the FDA read a Study of the Boyd Cycle. study"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "Ünder Café Noir. " + "Anna Bell " * 30_000)]
+    got = [tuple(r) for r in entities.pattern_entities(spark.createDataFrame(rows, "chunk_id int, text string"), 0.05).collect()]
+    one = sorted({(r, e, t, c) for k, r, e, t, c in got if k == 1})
+    assert len([g for g in got if g[0] == 1]) == 2 * len(one) and [r for r, *_ in one] == list(range(len(one)))
+    assert one[:3] == [(0, "Jane Q. Doe", "Person", 0.95), (1, "Max Weber", "Person", 0.95), (2, "Annals of Stress", "Organization", 0.95)]
+    named = {(e, t): c for _, e, t, c in one}
+    assert named["Ann Lee", "Person"] == named["J. Smith", "Person"] == 0.75 and ("New York", "Person") not in named
+    assert named["FDA", "Organization"] == named["Stanford University", "Organization"] == 0.85
+    assert named["Stress", "Concept"] == named["Study", "Concept"] == named["Boyd Cycle", "Concept"] == 0.75 and ("study", "Concept") not in named
+    assert {g[0] for g in got} == {1, 4} and [g[2] for g in got if g[0] == 4] == ["Anna Bell", "Bell Anna"][: len([g for g in got if g[0] == 4])]
+    assert entities.pattern_entities(spark.createDataFrame([], "chunk_id int, text string")).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_cascades_equal_brute_force(spark, kind):
     ids = [-130, -65, -64, -1, 0, 1, 63, 64, 127, 128, 2**40, 2**40 + 1]
