@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontam, langid, licenses, line_dedup, merkle, mixing, ngram_join, quality_rules, runs, token_files, toxicity, warc
+from claimweave.llm import decontam, embedding_dedup, langid, licenses, line_dedup, merkle, mixing, ngram_join, quality_rules, runs, token_files, toxicity, warc
 from claimweave.llm.common import table
 from claimweave.llm.oracle import ORACLE
 
@@ -64,6 +64,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     return merkle.manifest(table(spark, sf_dir, "documents"), columns, "lang", "doc_id", {"text": merkle.lower_ascii("text")}, held_out(3, 0))
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_line_dedup, op3_warc, op4_language_id, op5_toxicity, op6_quality_rules, op7_mixing, op8_token_files, op9_decontamination, op10_ngram_jaccard, op12_merkle_manifest, op13_periodic_runs]
+    own = [op1_license_scan, op2_line_dedup, op3_warc, op4_language_id, op5_toxicity, op6_quality_rules, op7_mixing, op8_token_files, op9_decontamination, op10_ngram_jaccard, op11_embedding_dedup, op12_merkle_manifest, op13_periodic_runs]
     return {f.__name__: f for f in [*own, pipeline]}
 
 
