@@ -6,7 +6,8 @@ holdout texts: a cutoff of a rule is admissible if the exact binomial test rejec
 more than the risk's share of good texts of this stratum" at the level divided by all tests made
 (Bonferroni over strata, rules and cutoffs). With probability 1 - level, every chosen cutoff therefore
 keeps its promise at once, and a stratum loses at most risk of its good texts, as each of the R rules
-gets risk / R. Of the admissible cutoffs the one that rejects most bad texts is taken, the laxest of
+gets risk / R. A trial is one distinct doc_id and text, however many rows repeat it. Equal or near texts under
+ids of their own count each: the promise is as good as the labelled documents are independent. Of the admissible cutoffs the one that rejects most bad texts is taken, the laxest of
 equals, and none where no bad text would go or too few texts are labelled.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import SPACES, written
+from claimweave.llm.common import SPACES, text_id, written
 
 RISK = 0.05
 LEVEL = 0.05
@@ -33,7 +34,8 @@ _COUNTED = {"n_symbols": "[A-Z!]+", "n_capitals": "[^A-Z]+", "n_shouts": "[^!]+"
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_shouts, base_failed."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_shouts, base_failed, and x1 and x2, which stand for the text."""
+    docs = docs.select("*", *text_id())
     keep = [c for c in docs.columns if c != "text"]
     text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(text, SPACES), "")
@@ -70,9 +72,13 @@ def binomial_tail(k: str, n: str, p: float) -> str:
 
 
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, rule, cutoff): the chosen cutoffs. counts has doc_id, stratum and the base counts; labels doc_id, quality."""
+    """(stratum, rule, cutoff): the chosen cutoffs. counts has doc_id, stratum and the base counts; labels doc_id, quality.
+
+    Each distinct doc_id and text of a stratum is one trial.
+    """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = counts.where("not base_failed").join(known, "doc_id").select("stratum", "quality", *(F.expr(e).alias(r) for r, (e, _) in RULES.items()))
+    held = counts.where("not base_failed").join(known, "doc_id").select("stratum", "doc_id", "x1", "x2", "quality", *(F.expr(e).alias(r) for r, (e, _) in RULES.items()))
+    held = held.groupBy("stratum", "doc_id", "x1", "x2").agg(F.first("quality").alias("quality"), *(F.first(r).alias(r) for r in RULES))
     each = held.selectExpr("stratum", "quality", f"stack({len(RULES)}, " + ", ".join(f"'{r}', cast({r} as double)" for r in RULES) + ") as (rule, x)")
     grid = "array(" + ", ".join(f"struct('{r}' as rule, {c}D as cutoff)" for r, (_, cs) in RULES.items() for c in cs) + ")"
     tried = each.selectExpr("stratum", "quality", "rule", "x", f"explode(transform(filter({grid}, g -> g.rule = rule), g -> g.cutoff)) as cutoff")

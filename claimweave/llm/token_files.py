@@ -169,12 +169,13 @@ def _write_part(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str) -
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
     """Writes doc_id, text of docs as token files; returns the parts: part, path, docs, nulls, ids, width, base.
 
-    Null and empty texts are the end id alone. Rows with one doc_id each have their place, by text.
+    Null and empty texts are the end id alone. Rows with one doc_id each have their place, by a hash of the text, then text.
     """
     spark = docs.sparkSession
     ready(spark)
     folder = folder or shared_dir(spark, "tokens")
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(*whole("doc_id"), "text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("o"), "text")  # a null or repeated doc_id may have rows in many parts
+    dealt = keyed.repartitionByRange("doc_id", "o").sortWithinPartitions("doc_id", "o", "text").select(*whole("doc_id"), "text")
     parts = dealt.mapInPandas(lambda it: _write_part(it, folder, vocabulary), "part int, path string, docs long, nulls long, ids long, width int")
     parts = written(parts, "parts")  # a row per part: read again, never written again
     order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)

@@ -2,8 +2,8 @@
 
 Features of a text are its distinct words, word pairs and pairs with one word between, hashed into 2**18
 coordinates; beyond 256 of them each counts a little less, by the fourth root of their number.
-Training takes a bounded sample of labelled rows (at most MOST_ROWS, those with the smallest hash of
-doc_id), dealt over up to MOST_SHARDS tasks. Each task runs FTRL-proximal (per-coordinate rates, L1 and
+Training takes a bounded sample of labelled documents (at most MOST_ROWS, those with the smallest hashes;
+a document is a doc_id with a text, repeated rows are one), dealt over up to MOST_SHARDS tasks. Each task runs FTRL-proximal (per-coordinate rates, L1 and
 L2) from the common state and returns how it changed z and n; Spark averages the changes for the next
 of EPOCHS rounds. L1 leaves most weights at zero; what is broadcast is at most 2**18 numbers.
 """
@@ -63,10 +63,15 @@ def _train(batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
 
 
 def fit(labelled: DataFrame, most_rows: int = MOST_ROWS) -> np.ndarray:
-    """Weights from doc_id, text, label (0 or 1). most_rows bounds the rows; all are used up to there."""
+    """Weights from doc_id, text, label (0 or 1). At most most_rows different documents are used, all where there are fewer."""
     spark = labelled.sparkSession
     ready(spark)
-    rows = written(labelled.select(F.xxhash64("doc_id", "text").alias("o"), "text", F.col("label").cast("double").alias("label")), "labelled")
+    rows = labelled.select(F.xxhash64("doc_id", "text").alias("o"), "text", F.col("label").cast("double").alias("label"))
+    if labelled.count() > most_rows:
+        keys = written(rows.select("o").distinct(), "keys")
+        if keys.count() > most_rows:
+            rows = rows.where(F.col("o") < hash_bound(keys, most_rows))
+    rows = written(rows.groupBy("o").agg(F.first("text").alias("text"), F.max("label").alias("label")), "labelled")
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     shards = max(1, min(MOST_SHARDS, rows.count() // SHARD_ROWS))
     for _ in range(EPOCHS):
