@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from claimweave.functions.vectors import vector_join
+from claimweave.functions.letters import alike
 from claimweave.functions.workers import ready
 from claimweave.operators.components import components
 
@@ -125,14 +125,15 @@ def match_entities(new: DataFrame, known: DataFrame, threshold: float = 0.85) ->
     on = lambda df, col, out: df.withColumnsRenamed({"key": f"_{out}"}).select(F.col(f"_{out}").alias(f"k_{out}"), F.col(df.columns[1]).alias(out))
     out = names.join(on(by_name, "norm", "e1"), F.lower("norm") == F.col("k_e1"), "left").join(on(by_name, "core", "e2"), F.lower("core") == F.col("k_e2"), "left").join(on(by_alias, "name", "a"), F.lower("name") == F.col("k_a"), "left")
     out = out.select("name", "norm", "core", F.coalesce("e1", "e2").alias("exact"), F.col("a").alias("alias"))
-    left = out.where("exact is null and alias is null").select(F.concat(F.lit("n"), "core").alias("key")).distinct()
-    vectors = embed(left.union(k.select(F.concat(F.lit("k"), core_name(F.col("kn")))).distinct()).withColumn("body", F.substring("key", 2, 1000)), "body")
-    near = vector_join(vectors, "key", threshold).where("left(a, 1) <> left(b, 1)").select(F.expr("if(left(a, 1) = 'n', a, b)").alias("n"), F.expr("if(left(a, 1) = 'n', b, a)").alias("to"), "similarity")
-    cores = k.select(F.concat(F.lit("k"), core_name(F.col("kn"))).alias("to"), "canonical").groupBy("to").agg(F.min("canonical").alias("canonical"))
-    best = near.join(cores, "to").groupBy("n").agg(F.max(F.struct(F.round("similarity", 6).alias("s"))).alias("top"), F.max_by("canonical", F.struct("similarity")).alias("similar"))
-    out = out.join(best, F.concat(F.lit("n"), "core") == F.col("n"), "left")
+    left = out.where("exact is null and alias is null").select(F.lower("core").alias("name"), F.lit(True).alias("fresh")).distinct()
+    cores = k.select(F.lower(core_name(F.col("kn"))).alias("to"), "canonical").groupBy("to").agg(F.min("canonical").alias("canonical"))
+    pairs = alike(left.union(cores.select("to", F.lit(False))), threshold)
+    near = pairs.select(F.col("a").alias("n"), F.col("b").alias("to"), "similarity").union(pairs.select("b", "a", "similarity"))
+    best = near.join(cores, "to").groupBy("n").agg(F.min(F.struct((-F.round("similarity", 6)).alias("s"), "canonical")).alias("top"))
+    best = best.select("n", F.col("top.canonical").alias("similar"), (-F.col("top.s")).alias("sure"))
+    out = out.join(best, F.lower("core") == F.col("n"), "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("similar").isNotNull(), "similar").otherwise("new")
-    return out.select("name", F.coalesce("exact", "alias", "similar", "norm").alias("canonical"), how.alias("how"), F.when(how == "similar", F.col("top.s")).when(how == "new", 0.0).otherwise(1.0).alias("confidence"))
+    return out.select("name", F.coalesce("exact", "alias", "similar", "norm").alias("canonical"), how.alias("how"), F.when(how == "similar", F.col("sure")).when(how == "new", 0.0).otherwise(1.0).alias("confidence"))
 
 
 def resolve_entities(names: DataFrame, threshold: float = 0.80) -> DataFrame:
@@ -142,8 +143,7 @@ def resolve_entities(names: DataFrame, threshold: float = 0.80) -> DataFrame:
     core is at least 0.95 like the canonical's, else MAYBE_SAME_AS, null for the canonical itself. Null and blank names go.
     """
     n = names.where(F.trim("name") != "").select("name").distinct().withColumn("norm", normalize_entity(F.col("name"))).withColumn("core", core_name(F.col("norm")))
-    vectors = embed(n.select(F.lower("core").alias("core")).distinct(), "core")
-    pairs = vector_join(vectors, "core", threshold)
+    pairs = alike(n.select(F.lower("core").alias("name")), threshold)
     found = components(pairs.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")))
     placed = n.withColumn("node", F.xxhash64(F.lower("core"))).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed.groupBy("component").agg(F.min(F.struct((-F.length("norm")).alias("o"), "norm", F.lower("core").alias("c"))).alias("y"), F.array_sort(F.collect_set("name")).alias("aliases"))
@@ -153,6 +153,34 @@ def resolve_entities(names: DataFrame, threshold: float = 0.80) -> DataFrame:
     return out.select("name", "canonical", "aliases", tier.alias("tier"))
 
 
+def extend_entities(known: DataFrame, new: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """T21 for names that come later: name, canonical, similarity, tier of all names, known clusters joined where new names link them.
+
+    known: name, canonical, as resolve_entities gave them; new: name. Only pairs with a new name are compared; a known cluster stays
+    whole. canonical is the longest normalised name of the cluster, ties the smallest. similarity is the carried cosine of a name's
+    core to the canonical's, where they were compared or are equal, else of its best link in the cluster; tier is SAME_AS
+    from 0.95 on, else MAYBE_SAME_AS, null for the canonical itself and for known names whose canonical stays. Null and blank
+    names go; names that are known already count as known.
+    """
+    k = known.where(F.trim("name") != "").select("name", F.col("canonical").alias("was")).dropDuplicates(["name"])
+    fresh = new.where(F.trim("name") != "").select("name").distinct().join(k, "name", "left_anti").withColumn("was", F.lit(None).cast("string"))
+    all_ = k.union(fresh).withColumn("norm", normalize_entity(F.col("name"))).withColumn("core", F.lower(core_name(F.col("norm"))))
+    pairs = alike(all_.select(F.col("core").alias("name"), F.col("was").isNull().alias("fresh")), threshold)
+    node, held = F.xxhash64(F.lit("core"), "core"), F.xxhash64(F.lit("cluster"), "was")
+    core = lambda c: F.xxhash64(F.lit("core"), c)
+    links = pairs.select(core("a").alias("u"), core("b").alias("v")).union(all_.where("was is not null").select(node, held))
+    placed = all_.withColumn("node", node).join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = placed.groupBy("component").agg(F.min(F.struct((-F.length("norm")).alias("o"), "norm", F.col("core").alias("c"))).alias("y"))
+    both = pairs.select(F.col("a").alias("core"), F.col("b").alias("c"), "similarity").union(pairs.select("b", "a", "similarity"))
+    own = both.groupBy("core").agg(F.max("similarity").alias("nearest"))
+    out = placed.join(best, "component").select("name", "norm", "core", "was", F.col("y.norm").alias("canonical"), F.col("y.c").alias("c"))
+    out = out.join(both, ["core", "c"], "left").join(own, "core", "left")
+    sure = F.round(F.when(F.col("core") == F.col("c"), 1.0).otherwise(F.coalesce("similarity", "nearest")), 6)
+    quiet = (F.col("norm") == F.col("canonical")) | F.coalesce(F.col("was") == F.col("canonical"), F.lit(False))
+    tier = F.when(quiet, None).when(F.coalesce(sure, F.lit(0.0)) >= 0.95, "SAME_AS").otherwise("MAYBE_SAME_AS")
+    return out.select("name", "canonical", sure.alias("similarity"), tier.alias("tier"))
+
+
 def build_graph(extracted: DataFrame) -> dict[str, DataFrame]:
     """Chunks with their extracted entities and claims -> documents, chunks, entities, claims, contains, contains_claim, mentions.
 

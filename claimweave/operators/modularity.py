@@ -87,7 +87,7 @@ def _local(edges: DataFrame, rounds: int, least: float) -> tuple[DataFrame, floa
         return now.select("node", "c"), best, any_
 
 
-def louvain(edges: DataFrame, levels: int = 10, rounds: int = 40, least: float = 1e-6) -> list[Level]:
+def louvain(edges: DataFrame, levels: int = 10, rounds: int = 40, least: float = 1e-4) -> list[Level]:
     """The levels of a modularity clustering of edges (src, dst, weight, rel_type, with ids that are whole numbers), the finest first.
 
     In a round every second node may move to the neighbouring community that adds most to modularity (ties the

@@ -426,4 +426,4 @@ def x3(spark, sf_dir):
     return burst_counts(event_claims(spark, sf_dir)).select("topic", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-from claimweave.plans import more, wide  # noqa: E402, F401  add their queries to the tables above
+from claimweave.plans import deep, more, wide  # noqa: E402, F401  add their queries to the tables above
