@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_open: ContextVar[list | None] = ContextVar("tables written in the scratch at hand", default=None)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, which a cluster must name."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -32,6 +38,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
+    if (held := _open.get()) is not None:
+        held.append(out)
     return out
 
 
@@ -41,3 +49,26 @@ def discard(*cuts: DataFrame) -> None:
         if path := getattr(df, "_cut", None):
             at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch():
+    """Deletes on leaving all tables that were written within, but those handed to the function that it gives, which returns them.
+
+    What is left may read only the tables kept.
+    """
+    held, kept = [], set()
+    token = _open.set(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._cut)
+        return df
+
+    give: Callable[[DataFrame], DataFrame] = keep
+    try:
+        yield give
+    finally:
+        _open.reset(token)
+        discard(*(df for df in held if df._cut not in kept))
+        if (outer := _open.get()) is not None:
+            outer.extend(df for df in held if df._cut in kept)
