@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import workers
-from claimweave.functions.tables import shared_dir, written  # noqa: F401  for the operators
+from claimweave.functions.tables import discard, scratch, shared_dir, written  # noqa: F401  for the operators
 
 #: Words are runs of anything but these characters (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from claimweave.llm.common import SPACES, written
+from claimweave.llm.common import SPACES, scratch, written
 
 WEIGHTS = (3, 1, 2)  #: repeated over the sources in code-point order, null last
 SHARE = 1.5
@@ -28,6 +28,7 @@ MOST_EPOCHS = 2
 BLOCK = 4096  #: tokens of a block, fewer where the whole mix is small
 SLOTS_LEAST = 20_000
 MOST_SOURCES = 100_000  #: sources are named on the driver; more are refused
+BROADCAST_COPIES = 1_000_000  #: counts of copies (12 bytes each) sent to every task, so that no text moves; more are joined by shuffle
 CHUNK = 2_000  #: documents or slots of a chunk, about
 _GOLDEN = 0.6180339887498949
 
@@ -129,7 +130,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     All columns are kept. Rows with one doc_id and text share the most that any of them is taken; others with its
     doc_id, null or not, are documents of their own. Texts without words go. An empty table gives no rows.
     """
-    copies = _mixed(docs, weights, share, seed).groupBy("key").agg(F.max(F.expr("cast(floor(taken / greatest(size, 1) + 0.5D) as int)")).alias("copies"))
-    copies = written(copies.where("copies > 0"), "copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(seed).alias("key")).join(copies, "key")
+    with scratch() as keep:
+        copies = keep(_copies(docs, weights, share, seed))
+    light = F.broadcast if copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES else (lambda x: x)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(seed).alias("key")).join(light(copies), "key")
     return rows.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
+
+
+def _copies(docs: DataFrame, weights: tuple[int, ...], share: float, seed: int) -> DataFrame:
+    """key, copies: how often the mix takes each document that it takes."""
+    copies = _mixed(docs, weights, share, seed).groupBy("key").agg(F.max(F.expr("cast(floor(taken / greatest(size, 1) + 0.5D) as int)")).alias("copies"))
+    return written(copies.where("copies > 0"), "copies")

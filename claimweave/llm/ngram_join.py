@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimweave.llm.common import may_be_among, nulled, ready, text_id, whole, written
+from claimweave.llm.common import discard, may_be_among, nulled, ready, scratch, text_id, whole, written
 from claimweave.llm.components import components
 from claimweave.llm.textkeys import U, mix, shingle_set, signature
 
@@ -180,7 +180,7 @@ def _sketch_bytes(parts: DataFrame, bits: int) -> bytes:
 
 
 def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose whole sets reach the threshold, as (u, v)."""
+    """Of pairs (a, b) of classes, those whose whole sets reach the threshold, as (u, v), a written table; the texts that it reads are deleted."""
     stars = pairs.groupBy(F.col("a").alias("lead")).agg(F.expr(f"cast(1 + count(*) div {STAR} as int)").alias("salts"))
     members = pairs.select(F.col("b").alias("c"), F.col("a").alias("lead")).join(stars, "lead").select("c", "lead", F.expr("cast(pmod(xxhash64(c), salts) as int)").alias("salt"))
     roles = members.union(stars.select(F.col("lead").alias("c"), "lead", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))).distinct()
@@ -215,7 +215,9 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
                         out.append((g, c))
             yield pd.DataFrame(out, columns=["u", "v"])
 
-    return dealt.mapInPandas(check, "u long, v long")
+    out = written(dealt.mapInPandas(check, "u long, v long"), "checked")
+    discard(needed, there)
+    return out
 
 
 def _needed(n: str, m: str, t: Fraction) -> F.Column:
@@ -254,7 +256,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.75, width: int = 5) ->
     doc_id of the component; a null doc_id is a document like any other. Other columns are ignored. An
     empty table gives no rows. Shingles are compared by 64-bit hashes.
     """
-    found = _placed(docs, threshold, width)
+    with scratch() as keep:
+        found = keep(written(_placed(docs, threshold, width), "placed"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -291,6 +294,7 @@ def _placed(docs: DataFrame, threshold: float, width: int) -> DataFrame:
     best = stars.where(_enough(t)).groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
     stars = written(best, "stars")
     first = written(_checked(docs, classes, stars, width, t).union(light).distinct(), "links")
+    discard(listed)
     place = components(first)
 
     links, tried = first, stars.select("a", "b")
@@ -303,7 +307,8 @@ def _placed(docs: DataFrame, threshold: float, width: int) -> DataFrame:
         short = placed.where("not hot").selectExpr("h", "c", "n", "hot", "pos", "g", *(f"{e} over (partition by h) as {x}" for x, e in told.items()))
         sums = placed.where("hot").groupBy("h").agg(*(F.expr(e).alias(x) for x, e in told.items())).where("g1 < g2")
         long_ = placed.where("hot").select("h", "c", "n", "hot", "pos", "g").join(sums, "h").select(*short.columns)
-        placed = written(short.where("g1 < g2").union(long_).drop("g1", "g2"), "mixed")
+        before, placed = heavy if not k else placed, written(short.where("g1 < g2").union(long_).drop("g1", "g2"), "mixed")
+        discard(before)
         lists = placed.select("h", "c", "n", "hot", "pos")
         if k == ROUNDS:
             break
@@ -333,6 +338,14 @@ def _placed(docs: DataFrame, threshold: float, width: int) -> DataFrame:
     return digest.join(named, ["s1", "s2"], "left").select("doc_id", "x1", "x2", "n", "component", "component_id")
 
 
+def _told(docs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """kept_id, kept1, kept2, kept: the documents of components with more than one, and which of them stays."""
+    found = _placed(docs, threshold, width).where("n > 0").select("doc_id", "x1", "x2", "component")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("idless"), "doc_id", "x1", "x2")).alias("y"), F.count("*").alias("many")).where("many > 1")
+    told = found.join(first, "component").select(F.col("doc_id").alias("kept_id"), F.col("x1").alias("kept1"), F.col("x2").alias("kept2"), F.expr("doc_id <=> y.doc_id and x1 = y.x1 and x2 = y.x2").alias("kept")).distinct()
+    return written(told, "told")
+
+
 def one_per_component(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
     """Keeps one row of each component: of the smallest doc_id, null last, and of its texts that of the smallest hash.
 
@@ -340,10 +353,8 @@ def one_per_component(docs: DataFrame, threshold: float = 0.75, width: int = 5)
     rows with one doc_id and text one stays, whichever. Only rows of components with more than one are shuffled.
     An empty table gives no rows.
     """
-    found = _placed(docs, threshold, width).where("n > 0").select("doc_id", "x1", "x2", "component")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("idless"), "doc_id", "x1", "x2")).alias("y"), F.count("*").alias("many")).where("many > 1")
-    told = found.join(first, "component").select(F.col("doc_id").alias("kept_id"), F.col("x1").alias("kept1"), F.col("x2").alias("kept2"), F.expr("doc_id <=> y.doc_id and x1 = y.x1 and x2 = y.x2").alias("kept")).distinct()
-    told = written(told, "told")
+    with scratch() as keep:
+        told = keep(_told(docs, threshold, width))
     may_be = may_be_among(docs.sparkSession, told.select(F.xxhash64("kept_id", "kept1", "kept2").alias("k")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), *text_id())
     wordless = F.coalesce(F.length(F.regexp_replace("row.text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
