@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions.vector_index import near_pairs
-from claimweave.operators import centrality, graph, modularity, trust
-from claimweave.plans.bindings import RING, ring_edges, table
+from claimweave.operators import anomaly, centrality, graph, modularity, trust
+from claimweave.operators.detect import CONTACTS, CULTURES
+from claimweave.plans.bindings import PLACES, RING, places, ring_edges, table
 from claimweave.plans.registry import query
 
 ROUNDS = 20
@@ -61,3 +62,54 @@ def g10(spark, sf_dir):
 @query("r8_vector_index", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 5) as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.35")
 def r8(spark, sf_dir):
     return near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", 0.35, exact=True).withColumn("similarity", F.round("similarity", 5))
+
+
+def _placed_claims(spark, sf_dir):
+    """Claims of customers at their nation, and every third of them at another one, too; topic = region."""
+    spots = places(spark, sf_dir).select("topic", "location", "lat", "lon")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as claim_id", "c_nationkey", "concat(c_mktsegment, case when c_custkey % 11 = 0 then ' pyramid' when c_custkey % 7 = 0 then ' calendar' else ' fire' end, case when c_custkey % 5 = 0 then ' of Egypt' else '' end) as claim_text")
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_regionkey", "n_name")
+    at = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("claim_id", "claim_text", "n_regionkey as topic", "n_name as location")
+    at = at.union(at.where("claim_id % 3 = 0").join(n.selectExpr("n_regionkey as topic", "n_name"), "topic").where("n_name > location").groupBy("claim_id", "claim_text", "topic").agg(F.min("n_name").alias("location")))
+    dates = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("claim_id")).agg(F.min("o_orderdate").alias("ts"))
+    each = at.join(spots, ["topic", "location"]).groupBy("claim_id", "topic", "claim_text").agg(F.collect_list(F.struct(F.col("location").alias("name"), "lat", "lon")).alias("locations"))
+    return each.join(dates, "claim_id", "left")
+
+
+_CULTURE = lambda c: "case " + " ".join("when " + " or ".join(f"contains(lower({c}), '{w}')" for w in words) + f" then '{name}'" for name, words in CULTURES.items()) + " end"
+_CONTACT = "case " + " ".join(f"when (x.culture = '{a}' and y.culture = '{b}') or (x.culture = '{b}' and y.culture = '{a}') then {v}" for (a, b), v in CONTACTS.items()) + " else 0.3 end"
+
+ANOMALY = f"""{PLACES}, c as (select c_custkey as claim_id, c_nationkey, c_mktsegment || case when c_custkey % 11 = 0 then ' pyramid' when c_custkey % 7 = 0 then ' calendar' else ' fire' end || case when c_custkey % 5 = 0 then ' of Egypt' else '' end as claim_text, ts from customer left join (select o_custkey, min(o_orderdate) as ts from orders group by 1) on o_custkey = c_custkey),
+at1 as (select claim_id, claim_text, ts, n_regionkey as topic, n_name as location from c join nation on n_nationkey = c_nationkey),
+at2 as (select * from at1 union all select claim_id, claim_text, ts, topic, min(n_name) from at1 join nation on n_regionkey = topic and n_name > location where claim_id % 3 = 0 group by all),
+said as (select *, {_CULTURE('claim_text')} as told, case when contains(claim_text, 'pyramid') then 0.8 when contains(claim_text, 'calendar') then 0.5 when contains(claim_text, 'fire') then 0.2 else 0 end as cx, row_number() over (partition by topic, location order by claim_id) as rk from at2),
+unit as (select vec_id, list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[])))) as e from embeddings),
+spread as (select topic, location, unnest(range(1, len(e) + 1)) as i, unnest(e) as x from said join unit on vec_id = claim_id),
+means as (select topic, location, i, avg(x) as m from spread group by 1, 2, 3),
+spots as (select topic, location, count(*) as n, any_value(p.lat) as lat, any_value(p.lon) as lon, min(ts) as first_at, max(ts) as last_at, max(cx) as cx, coalesce({_CULTURE('location')}, arg_min(told, rk) filter (rk <= 3 and told is not null), 'unknown') as culture from said join places p using (topic, location) group by 1, 2),
+signals as (select x.topic, x.location as location1, y.location as location2, 2 * 6371.0 * asin(sqrt(least(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2), 1.0))) * 0.621371 as miles,
+ case when x.first_at is null or y.first_at is null then 0.5 when x.first_at <= y.last_at and y.first_at <= x.last_at then 0.8 else 0.3 end as temporal, 1 - {_CONTACT} as cultural, greatest(x.cx, y.cx) as complexity, (select sum(a.m * b.m) from means a join means b on a.i = b.i where a.topic = x.topic and b.topic = x.topic and a.location = x.location and b.location = y.location) as s
+ from spots x join spots y on x.topic = y.topic and x.location < y.location),
+rated as (select *, case when miles >= 5000 then least(0.7 + (miles - 5000) / 10000, 1.0) else miles / 5000 * 0.5 end as geographic, case when s is null then 0.5 when s >= 0.85 then 0.95 when s >= 0.75 then 0.8 when s >= 0.65 then 0.6 else s * 0.5 end as similarity from signals),
+anomalies as (select topic, location1, location2, round(geographic, 6) as geographic, cast(temporal as double) as temporal, cast(cultural as double) as cultural, cast(complexity as double) as complexity, round(similarity, 6) as similarity, round(0.25 * geographic + 0.15 * temporal + 0.25 * cultural + 0.2 * complexity + 0.15 * similarity, 6) as pair_score from rated where 0.25 * geographic + 0.15 * temporal + 0.25 * cultural + 0.2 * complexity + 0.15 * similarity > 0.3)"""
+
+
+@query("d37_five_signals", f"with {ANOMALY} select * from anomalies")
+def d37(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "claim_id")
+    return anomaly.anomalous_pairs(anomaly.place_summaries(_placed_claims(spark, sf_dir), vectors))
+
+
+@query("d38_anomaly_report", f"""with {ANOMALY}, r as (select *, row_number() over (partition by topic order by pair_score desc, location1, location2) as rank from anomalies),
+g as (select topic, count(*) as n_pairs, max(pair_score) filter (rank = 1) as top_score, max(pair_score) filter (rank = 2) as s2, sum(cast(pair_score as decimal(20, 6))) filter (rank > 2) as rest, max(location1) filter (rank = 1) as top_location1, max(location2) filter (rank = 1) as top_location2 from r group by 1),
+h as (select *, round(case n_pairs when 1 then top_score when 2 then 0.6 * top_score + 0.4 * s2 else 0.5 * top_score + 0.3 * s2 + 0.2 * cast(rest as double) / (n_pairs - 2) end, 6) as score from g),
+w as (select topic, location, min(rank * 2 + side) as spot from (select topic, location1 as location, 0 as side, rank from r union all select topic, location2, 1, rank from r) where rank <= 20 group by 1, 2),
+f as (select said.topic, claim_id, min(spot * 1000 + rk) as at_ from said join w on w.topic = said.topic and w.location = said.location where rk <= 5 group by 1, 2),
+k as (select *, row_number() over (partition by topic order by at_, claim_id) as n from f)
+select h.topic, n_pairs, score, case when n_pairs >= 5 then 0.95 when n_pairs >= 3 then 0.85 when n_pairs = 2 then 0.75 else 0.6 end as confidence, case when score >= 0.8 then 'CRITICAL' when score >= 0.6 then 'HIGH' when score >= 0.4 then 'MODERATE' when score >= 0.2 then 'LOW' else 'MINIMAL' end as severity,
+ top_location1, top_location2, top_score, (select string_agg(claim_id, ',' order by n) from k where k.topic = h.topic and n <= 100) as sample_claims from h""")
+def d38(spark, sf_dir):
+    claims = _placed_claims(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "claim_id")
+    out = anomaly.anomaly_report(anomaly.anomalous_pairs(anomaly.place_summaries(claims, vectors)), claims)
+    return out.withColumn("sample_claims", F.array_join(F.col("sample_claims").cast("array<string>"), ","))
