@@ -72,11 +72,18 @@ def claim_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return full.withColumn("n_cites", F.size("cites")).withColumn("n_cited_by", F.size("cited_by"))
 
 
+def _mean(which) -> F.Column:
+    return F.round(F.try_divide(F.sum(F.when(which, F.col("trust").cast("decimal(20,6)"))).cast("double"), F.count_if(which)), 6)
+
+
 def claim_evidence(edges: DataFrame, trust: DataFrame) -> DataFrame:
-    """Per node how many support and contradict it and their mean trust; unknown trust counts as 0.5, no evidence as null."""
+    """Per node how many support and contradict it and their mean trust; unknown trust counts as 0.5, no evidence as null.
+
+    Trusts are summed as decimals of 6 digits, so a mean hangs on no order of adding.
+    """
     e = edges.where("rel_type in ('SUPPORTS', 'CONTRADICTS')").join(trust.select(F.col("node").alias("src"), "trust"), "src", "left").withColumn("trust", F.coalesce("trust", F.lit(0.5)))
     pro, anti = F.col("rel_type") == "SUPPORTS", F.col("rel_type") == "CONTRADICTS"
-    return e.groupBy(F.col("dst").alias("node")).agg(F.count_if(pro).alias("n_supporting"), F.count_if(anti).alias("n_contradicting"), F.round(F.avg(F.when(pro, F.col("trust"))), 6).alias("supporting_trust"), F.round(F.avg(F.when(anti, F.col("trust"))), 6).alias("contradicting_trust"))
+    return e.groupBy(F.col("dst").alias("node")).agg(F.count_if(pro).alias("n_supporting"), F.count_if(anti).alias("n_contradicting"), _mean(pro).alias("supporting_trust"), _mean(anti).alias("contradicting_trust"))
 
 
 def claim_type_counts(claims: DataFrame, kinds: list[str]) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions.vector_index import near_pairs
-from claimweave.operators import anomaly, centrality, graph, modularity, trust
+from claimweave.operators import anomaly, centrality, graph, manage, mining, modularity, trust
 from claimweave.operators.detect import CONTACTS, CULTURES
-from claimweave.plans.bindings import PLACES, RING, places, ring_edges, table
+from claimweave.plans.bindings import EVENTS, PLACES, RING, event_claims, places, ring_edges, table
 from claimweave.plans.registry import query
 
 ROUNDS = 20
@@ -113,3 +113,58 @@ def d38(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "claim_id")
     out = anomaly.anomaly_report(anomaly.anomalous_pairs(anomaly.place_summaries(claims, vectors)), claims)
     return out.withColumn("sample_claims", F.array_join(F.col("sample_claims").cast("array<string>"), ","))
+
+
+# Entities are nations of customers and of suppliers, and days of orders: one document is one order.
+_SEEN = "seen as (select distinct l_orderkey as doc, l_suppkey % 40 as entity from lineitem union select o_orderkey, 100 + o_custkey % 15 from orders)"
+
+
+@query("g7_correlations", f"""with {_SEEN}, c as (select entity, count(*) as c from seen group by 1 having count(*) >= 3),
+p as (select a.entity as e1, b.entity as e2, count(*) as co from seen a join seen b on a.doc = b.doc and a.entity < b.entity group by 1, 2),
+f as (select e1, e2, co, a.c as c1, b.c as c2, (select count(distinct doc) from seen) as n from p join c a on a.entity = e1 join c b on b.entity = e2 where co >= 3 and co >= 0.08 * least(a.c, b.c)),
+g as (select *, c1 * c2 / n as expected from f), h as (select *, case when expected < 5 then 0.1 else least(1.0, power(co - expected, 2) / expected / 20) end as sure from g)
+select e1, e2, co, c1, c2, round(co / c1, 6) as conf12, round(co / c2, 6) as conf21, round(co * n / (c1 * c2), 6) as lift, round(sure, 6) as significance from h where sure > 0.05 order by lift desc, co desc, e1, e2 limit 500""")
+def g7(spark, sf_dir):
+    seen = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc", "l_suppkey % 40 as entity").union(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "100 + o_custkey % 15"))
+    return mining.correlations(seen, min_conf=0.08, over=0.05)
+
+
+@query("g9_sequences", """with d as (select distinct o_custkey as entity, o_orderkey as doc, cast(o_orderdate as date) as day from orders),
+c as (select entity, count(*) as c from d group by 1),
+one as (select x.entity as e1, y.entity as e2, count(distinct x.doc) as count1, count(distinct y.doc) as count2 from d x join d y on x.entity <> y.entity and y.day - x.day between 1 and 90 group by 1, 2)
+select e1, e2, count1, count2, c as c1, round(count1 / c, 6) as share from one join c on entity = e1 where count1 >= 3 and count2 >= 3 and c >= 3 and (select c from c k where k.entity = e2) >= 3 and count1 >= 0.6 * c order by share desc, count1 desc, e1, e2 limit 50""")
+def g9(spark, sf_dir):
+    return mining.sequences(table(spark, sf_dir, "orders").selectExpr("o_custkey as entity", "o_orderkey as doc", "cast(o_orderdate as date) as day"))
+
+
+@query("a5_assessments", f"""with {EVENTS}, asked as (select topic from claims union select 'absent topic'),
+b as (select asked.topic, count(claim_id) as total_claims, count(*) filter (claim_type = 'PRIMARY') as primary_claims, count(*) filter (claim_type = 'META') as meta_claims, count(*) filter (claim_type = 'SECONDARY') as secondary_claims, count(*) filter (claim_type = 'CONTEXTUAL') as contextual_claims, count(distinct source) as n_sources, count(*) filter (intense) as n_dated, count(*) filter (claim_id % 97 = 0) as n_located from asked left join claims using (topic) group by 1),
+s as (select *, total_claims >= 10 and (primary_claims >= 5 or total_claims >= 20) as suppression_sufficient, n_sources >= 3 and total_claims >= 10 as coordination_sufficient, n_located >= 2 and total_claims >= 10 as anomaly_sufficient from b)
+select *, case when total_claims = 0 then 'no_claims' else concat_ws(',', case when total_claims < 10 then 'few_claims' end, case when primary_claims < 10 then 'few_primary' end, case when meta_claims = 0 then 'no_meta' when meta_claims < 5 then 'few_meta' end, case when n_sources = 1 then 'one_source' when n_sources < 3 then 'few_sources' end) end as suppression_warnings,
+ case when total_claims = 0 then 'no_claims' else concat_ws(',', case when n_sources < 3 then 'few_sources' end, case when n_dated < total_claims * 0.3 then 'few_dated' end) end as coordination_warnings,
+ case when total_claims = 0 then 'no_claims' else concat_ws(',', case when n_located < 2 then 'few_located' end) end as anomaly_warnings, suppression_sufficient and coordination_sufficient and anomaly_sufficient as sufficient from s""")
+def a5(spark, sf_dir):
+    claims = event_claims(spark, sf_dir).selectExpr("topic", "claim_type", "source", "intense as dated", "claim_id % 97 = 0 as located")
+    out = manage.assess(claims, spark.sql("select 'absent topic' as topic"))
+    return out.withColumns({f"{k}_warnings": F.array_join(f"{k}_warnings", ",") for k in ("suppression", "coordination", "anomaly")})
+
+
+@query("a6_exclude_restore", f"""with {EVENTS} select claim_id, (excluded or claim_id in (select vec_id from embeddings)) and claim_id not in (select item_id from benchmark) as excluded, case when claim_id in (select vec_id from embeddings) then timestamp '2020-01-01' end as excluded_at, case when claim_id in (select item_id from benchmark) then timestamp '2020-01-02' end as restored_at from claims""")
+def a6(spark, sf_dir):
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    out = manage.exclude(event_claims(spark, sf_dir).withColumns({"excluded_at": at(None), "restored_at": at(None)}), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("claim_id")), at("2020-01-01"))
+    return manage.restore(out, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id")), at("2020-01-02")).select("claim_id", "excluded", "excluded_at", "restored_at")
+
+
+@query("a7_delete_cascade", """with cl as (select doc_id as claim_id, source as source_file from documents), ch as (select doc_id // 3 as chunk_id, max(source) as source_file from documents group by 1), cc as (select doc_id // 3 as chunk_id, doc_id as claim_id from documents),
+ab as (select distinct source as doc, lang as topic from documents), tp as (select distinct lang as topic from documents union select 'x'), g as (select claim_id from cl where contains(source_file, 'src1')),
+lc as (select * from cc where claim_id not in (select claim_id from g)), la as (select * from ab where not contains(doc, 'src1')), dead as (select topic from tp where topic not in (select topic from la where topic is not null))
+select 'claims' as what, (select count(*) from g) as n union all select 'chunks', (select count(*) from ch where contains(source_file, 'src1') and chunk_id not in (select chunk_id from lc)) union all select 'embeddings', (select count(*) from embeddings where vec_id in (select claim_id from g))
+union all select 'topic_relationships', (select count(*) from ab where contains(doc, 'src1')) union all select 'orphaned_topics', (select count(*) from dead) union all select 'topic_embeddings', (select count(*) from dead)""")
+def a7(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    topics = d.selectExpr("lang as topic").union(spark.sql("select 'x' as topic")).distinct()
+    return manage.delete_source({
+        "claims": d.selectExpr("doc_id as claim_id", "source as source_file"), "chunks": d.groupBy(F.expr("doc_id div 3").alias("chunk_id")).agg(F.max("source").alias("source_file")), "contains_claim": d.selectExpr("doc_id div 3 as chunk_id", "doc_id as claim_id"),
+        "documents": d.selectExpr("source as doc", "source as source_file").distinct(), "about": d.selectExpr("source as doc", "lang as topic").distinct(), "topics": topics, "claim_vectors": table(spark, sf_dir, "embeddings").selectExpr("vec_id as claim_id"), "topic_vectors": topics,
+    }, "src1")[1]
