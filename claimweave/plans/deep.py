@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions.vector_index import near_pairs
-from claimweave.operators import anomaly, centrality, graph, manage, mining, modularity, trust
+from claimweave.operators import anomaly, centrality, citations, components, graph, manage, mining, modularity, network, trust
 from claimweave.operators.detect import CONTACTS, CULTURES
 from claimweave.plans.bindings import EVENTS, PLACES, RING, event_claims, places, ring_edges, table
 from claimweave.plans.registry import query
@@ -168,3 +168,41 @@ def a7(spark, sf_dir):
         "claims": d.selectExpr("doc_id as claim_id", "source as source_file"), "chunks": d.groupBy(F.expr("doc_id div 3").alias("chunk_id")).agg(F.max("source").alias("source_file")), "contains_claim": d.selectExpr("doc_id div 3 as chunk_id", "doc_id as claim_id"),
         "documents": d.selectExpr("source as doc", "source as source_file").distinct(), "about": d.selectExpr("source as doc", "lang as topic").distinct(), "topics": topics, "claim_vectors": table(spark, sf_dir, "embeddings").selectExpr("vec_id as claim_id"), "topic_vectors": topics,
     }, "src1")[1]
+
+
+def _order_parts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as claim_id", "l_partkey as entity")
+
+
+@query("t27_entity_reach", "with m as (select distinct l_orderkey as claim_id, l_partkey as entity from lineitem) select a.claim_id, count(distinct b.claim_id) - 1 as n_partners from m a join m b using (entity) group by 1")
+def t27r(spark, sf_dir):
+    return citations.entity_reach(_order_parts(spark, sf_dir))
+
+
+@query("t27_citation_stats", """with c as (select o_orderkey as claim_id, o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders),
+m as (select distinct l_orderkey as claim_id, l_partkey as entity from lineitem), n as (select claim_id, count(*) as c from m group by 1),
+p as (select b.claim_id as src, a.claim_id as dst, count(*) as co from m a join m b using (entity) where a.claim_id < b.claim_id group by 1, 2),
+e as (select a.claim_id as src, b.claim_id as dst, 'in_document' as kind from c a join c b on a.o_custkey = b.o_custkey and b.k between a.k - 5 and a.k - 1
+ union all select src, dst, 'shared_entities' from p join n x on x.claim_id = src join n y on y.claim_id = dst where co >= 2 and co >= 0.3 * least(x.c, y.c) and least(x.c, y.c) >= 2),
+g as (select kind, src, count(*) as n from e group by 1, 2), h as (select src, sum(n) as n from g group by 1)
+select kind, cast(sum(n) as bigint) as total, round(avg(n), 6) as avg_per_claim, max(n) as max_per_claim from g group by 1 union all select null, cast(sum(n) as bigint), round(avg(n), 6), cast(max(n) as bigint) from h""")
+def t27s(spark, sf_dir):
+    claims = table(spark, sf_dir, "orders").selectExpr("o_orderkey as claim_id", "o_custkey", "o_orderdate")
+    return citations.citation_stats(citations.citation_network(claims, _order_parts(spark, sf_dir), "o_custkey", "o_orderdate", share=0.3))
+
+
+_STEPS = 16  #: rounds in SQL: more than any two nodes of the test tables lie apart
+
+
+@query("g12_components", "with u as materialized (select distinct l_orderkey as a, -1 - l_partkey as b from lineitem), e as materialized (select a, b from u union all select b, a from u), r0 as (select distinct a as node, a as root from e), " + ", ".join(f"r{k + 1} as materialized (select r.node, least(r.root, min(s.root)) as root from r{k} r join e on e.a = r.node join r{k} s on s.node = e.b group by r.node, r.root)" for k in range(_STEPS)) + f" select node, root as component from r{_STEPS}")
+def g12(spark, sf_dir):
+    return components.components(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as u", "-1 - l_partkey as v"))
+
+
+@query("r6_alias_two_hops", "with s as (select distinct a.l_suppkey as src, b.l_suppkey as dst from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_suppkey < b.l_suppkey where a.l_orderkey < b.l_orderkey), u as (select src, dst from s union select dst, src from s), h0 as (select s_suppkey as n from supplier where contains(lower(s_name), '00001')), h1 as (select n from h0 union select dst from u join h0 on n = src), h2 as (select n from h1 union select dst from u join h1 on n = src) select l_orderkey as claim_id, count(distinct l_suppkey) as n_entities from lineitem join h2 on n = l_suppkey group by 1")
+def r6(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    x, y = l.select("l_partkey", "l_orderkey", F.col("l_suppkey").alias("src")), l.select("l_partkey", F.col("l_orderkey").alias("later"), F.col("l_suppkey").alias("dst"))
+    same = x.join(y, "l_partkey").where("src < dst and l_orderkey < later").select("src", "dst").distinct()
+    mentions = l.selectExpr("l_orderkey as doc", "l_suppkey as entity")
+    return network.search_entity_alias(same, mentions, l.selectExpr("l_orderkey as claim_id", "l_orderkey as doc").distinct(), table(spark, sf_dir, "supplier").selectExpr("s_suppkey as entity", "s_name as name"), "00001", hops=2)

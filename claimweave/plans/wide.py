@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import answers, components, detect, entities, network, text
+from claimweave.operators import answers, detect, entities, network, text
 from claimweave.plans.bindings import CITES, EDGES, EVENTS, PLACES, RING, cites, event_claims, part_edges, places, ring_edges, table
 from claimweave.plans.registry import CASCADES, DOC_CLAIMS, EMOTION, TRUST, _any, _doc_claims, _sql_list, _trust, query
 from claimweave.sources import io
@@ -389,12 +389,6 @@ def g10b(spark, sf_dir):
     return network.betweenness(ring_edges(spark, sf_dir), table(spark, sf_dir, "supplier").selectExpr("s_suppkey as node"))
 
 
-@query("g12_components", f"with recursive {EDGES}, b as (select distinct l_orderkey as src, -1 - l_partkey as dst from lineitem where l_quantity > 49), u as (select src, dst from b union select dst, src from b), r(node, root) as (select src, src from u union select u.dst, r.root from r join u on u.src = r.node where r.root < u.dst) select node, min(root) as component from r group by 1".replace(f"{EDGES}, ", ""))
-def g12(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_quantity > 49").selectExpr("l_orderkey as u", "-1 - l_partkey as v")
-    return components.components(e)
-
-
 @query("g17_mine_patterns", f"with {TRUST}, {CASCADES}, {MENTIONS} select 'cascade' as kind, count(*) as n from (select node from casc order by magnitude desc, node limit 20)")
 def g17(spark, sf_dir):
     got = network.mine_patterns(ring_edges(spark, sf_dir), _mentions(spark, sf_dir), _trust(spark, sf_dir))
