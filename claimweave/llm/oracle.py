@@ -69,7 +69,22 @@ select t.doc_id, coalesce(c.n_runs, 0) as n_runs, k.s as start, k.l as length, k
 from t left join c on t.r = c.r left join k on t.r = k.r and k.place = 1 left join y on t.r = y.r
 """
 
+_STEPS = 16  #: rounds in SQL: more than any two linked vectors of the test tables lie apart
+_LINKS = (
+    """
+with v as materialized (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+ok as materialized (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+r0 as (select vec_id as node, vec_id as root from v),
+"""
+    + ",\n".join(f"r{k + 1} as materialized (select r.node, least(r.root, coalesce(min(s.root), r.root)) as root from r{k} r left join l on l.a = r.node left join r{k} s on s.node = l.b group by r.node, r.root)" for k in range(_STEPS))
+    + f"""
+select vec_id, coalesce(n, 0) as n_links, root as component_id, root = vec_id as kept from v join r{_STEPS} on node = vec_id left join (select a, count(*) as n from l group by 1) on a = vec_id
+"""
+)
+
 ORACLE = {
+    "op11_embedding_dedup": _LINKS,
     "op12_merkle_manifest": _merkle(),
     "op13_periodic_runs": _RUNS,
     "op3_warc": f"""
