@@ -23,14 +23,18 @@ def entity_citations(mentions: DataFrame, least: int = 2, share: float = 0.5) ->
 def entity_reach(mentions: DataFrame) -> DataFrame:
     """claim_id, n_partners: how many other claims share any entity with a claim; exact, and no pair becomes a row.
 
-    The claims of an entity are bits of words; a claim's partners are the union of its entities' words, united before they are
-    shuffled, less the claim. mentions: claim_id, entity; repeats count once, nulls go.
+    Claims with the same entities have the same partners and are looked up once. The claims of an entity are bits of words; a set's
+    partners are the union of its entities' words, united before they are shuffled. mentions: claim_id, entity; repeats
+    count once, nulls go. Sets of entities are told by 128-bit hashes.
     """
     m = mentions.where("claim_id is not null and entity is not null").select("claim_id", "entity").distinct()
     word, bit = _spots(m, "claim_id")
     held = m.groupBy("entity", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    met = m.join(held, "entity").groupBy("claim_id", "word").agg(F.bit_or("bits").alias("bits"))
-    return met.groupBy("claim_id").agg((F.sum(F.bit_count("bits")) - 1).alias("n_partners"))
+    own = m.groupBy("claim_id").agg(F.array_sort(F.collect_set("entity")).alias("es")).select("claim_id", "es", F.xxhash64("es").alias("s1"), F.xxhash64(F.lit(1), "es").alias("s2"))
+    sets = own.groupBy("s1", "s2").agg(F.first("es").alias("es")).select("s1", "s2", F.explode("es").alias("entity"))
+    met = sets.join(held, "entity").groupBy("s1", "s2", "word").agg(F.bit_or("bits").alias("bits"))
+    reach = met.groupBy("s1", "s2").agg((F.sum(F.bit_count("bits")) - 1).alias("n_partners"))
+    return own.select("claim_id", "s1", "s2").join(reach, ["s1", "s2"]).select("claim_id", "n_partners")
 
 
 def citation_network(claims: DataFrame, mentions: DataFrame, doc: str, seq: str, most: int = 5, least: int = 2, share: float = 0.5) -> DataFrame:
