@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.functions.vector_index import near_pairs
-from claimweave.operators import anomaly, centrality, citations, components, graph, manage, mining, modularity, network, trust
+from claimweave.operators import anomaly, centrality, citations, components, graph, manage, mining, modularity, network, suppression, trust
 from claimweave.operators.detect import CONTACTS, CULTURES
 from claimweave.plans.bindings import EVENTS, PLACES, RING, event_claims, places, ring_edges, table
-from claimweave.plans.registry import query
+from claimweave.plans.registry import _ECAT, EVENT_LEXICON, MISMATCH, _any, query
 
 ROUNDS = 20
 
@@ -206,3 +206,28 @@ def r6(spark, sf_dir):
     same = x.join(y, "l_partkey").where("src < dst and l_orderkey < later").select("src", "dst").distinct()
     mentions = l.selectExpr("l_orderkey as doc", "l_suppkey as entity")
     return network.search_entity_alias(same, mentions, l.selectExpr("l_orderkey as claim_id", "l_orderkey as doc").distinct(), table(spark, sf_dir, "supplier").selectExpr("s_suppkey as entity", "s_name as name"), "00001", hops=2)
+
+
+_PROFILE = {"signal_weights": {"narrative": 4, "meta_density": 2, "isolation": 1, "avoidance": 2, "mismatch": 1}, "score_levels": {"critical": 0.7, "high": 0.5}, "scoring": {"mode": "linear"}}
+
+
+@query("d12_suppression_report", f"""with {EVENTS.replace('from events)', 'from events where event_id % 10 <> 7)')},
+b as (select topic, count(*) as n, coalesce(least(1.5 * count(*) filter (claim_type = 'META') / nullif(count(*) filter (claim_type in ('META', 'PRIMARY')), 0), 0.8), 0.0) as meta_density,
+ 0.5 * (1 - avg(cast(n_citations > 0 as int))) as isolation, coalesce(count(*) filter (claim_type = 'META' and n_citations = 0) / nullif(count(*) filter (claim_type = 'META'), 0), 0.0) as avoidance,
+ least(2 * avg(cast({_any("lower(claim_text)", MISMATCH)} as int)), 0.8) as mismatch, count(*) filter ({_ECAT} is not null) as k from claims group by 1),
+g as (select topic, n, k, round(meta_density, 6) as meta_density, round(isolation, 6) as isolation, round(avoidance, 6) as avoidance, round(mismatch, 6) as mismatch, round(cast(least(k * 0.1, 0.95) as double), 6) as narrative from b),
+u as (select *, round((0.4 * narrative + 0.2 * meta_density + 0.1 * isolation + 0.2 * avoidance + case when mismatch > 0 then 0.1 * mismatch else 0 end) / case when mismatch > 0 then 1.0 else 0.9 end, 6) as score from g),
+i as (select topic, claim_id, {_ECAT} as category from claims where {_ECAT} is not null),
+s as (select topic, string_agg(claim_id || ' ' || category, ',' order by claim_id) as sample from (select *, row_number() over (partition by topic order by claim_id) as rk from i) where rk <= 20 group by 1),
+c as (select topic, string_agg(category || ' ' || n, ',' order by category) as cats from (select topic, category, count(*) as n from i group by 1, 2) group by 1),
+p as (select topic, string_agg(signal || ' ' || x, ',' order by x desc, signal) as parts from (select *, row_number() over (partition by topic order by x desc, signal) as rk from (
+ select topic, 'narrative' as signal, cast(round(400000 * narrative) as bigint) as x from u union all select topic, 'meta_density', cast(round(200000 * meta_density) as bigint) from u union all select topic, 'isolation', cast(round(100000 * isolation) as bigint) from u union all select topic, 'avoidance', cast(round(200000 * avoidance) as bigint) from u union all select topic, 'mismatch', cast(round(100000 * mismatch) as bigint) from u) where x > 0) where rk <= 2 group by 1)
+select u.topic, n, k as n_indicators, narrative, meta_density, isolation, avoidance, mismatch, score,
+ case when score >= 0.7 then 'CRITICAL' when score >= 0.5 then 'HIGH' when score >= 0.35 then 'MODERATE' when score >= 0.15 then 'LOW' else 'MINIMAL' end as level, cats as categories, parts as contributions, sample as sample_claims from u left join s using (topic) left join c using (topic) left join p using (topic)""")
+def d12(spark, sf_dir):
+    out = suppression.report(event_claims(spark, sf_dir), EVENT_LEXICON, MISMATCH, _PROFILE).drop("confidence")
+    text = lambda of: F.array_join(F.expr(of), ",")
+    return out.withColumns({
+        "categories": F.when(F.col("categories").isNotNull(), text("transform(map_entries(categories), x -> concat(x.key, ' ', x.value))")), "contributions": text("transform(contributions, x -> concat(x.signal, ' ', cast(round(x.contribution * 1000000) as bigint)))"),
+        "sample_claims": F.when(F.col("sample_claims").isNotNull(), text("transform(sample_claims, x -> concat(x.claim_id, ' ', x.category))")),
+    })
