@@ -39,12 +39,13 @@ def suppression_score(claims: DataFrame, lexicon, mismatch_words: list[str], wei
     hits = indicators(claims, lexicon).groupBy("topic").agg(F.count("*").alias("n_indicators"))
     wrong = F.exists(F.array(*map(F.lit, mismatch_words)), lambda w: F.contains(F.lower("claim_text"), w))
     meta, primary = F.count_if(F.col("claim_type") == "META"), F.count_if(F.col("claim_type") == "PRIMARY")
+    capped = lambda x: F.when(x.isNotNull(), F.least(x, F.lit(0.8))).otherwise(0.0)  # noqa: E731  least() would skip a null
     base = claims.groupBy("topic").agg(
         F.count("*").alias("n"),
-        F.coalesce(F.least(F.try_divide(1.5 * meta, meta + primary), F.lit(0.8)), F.lit(0.0)).alias("meta_density"),
+        capped(F.try_divide(1.5 * meta, meta + primary)).alias("meta_density"),
         (0.5 * (1 - F.avg((F.col("n_citations") > 0).cast("int")))).alias("isolation"),
         F.coalesce(F.try_divide(F.count_if((F.col("claim_type") == "META") & (F.col("n_citations") == 0)), meta), F.lit(0.0)).alias("avoidance"),
-        F.least(2 * F.avg(wrong.cast("int")), F.lit(0.8)).alias("mismatch"),
+        capped(2 * F.avg(wrong.cast("int"))).alias("mismatch"),
     )
     rows = base.join(hits, "topic", "left").withColumn("n_indicators", F.coalesce("n_indicators", F.lit(0))).withColumn("narrative", goldfinger(F.col("n_indicators")))
     score = weighted_mean(weights, F.col, lambda k: F.col("mismatch") > 0 if k == "mismatch" else F.lit(True))
