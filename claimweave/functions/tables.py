@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -11,6 +13,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+SWEEP = 15  #: seconds between sweeps, at least
+_swept = [0.0]
 _open: ContextVar[list | None] = ContextVar("tables written in the scratch at hand", default=None)
 
 
@@ -43,10 +47,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are gone: it does so only when the driver has collected its garbage, which many small rounds don't bring about."""
+    if time.monotonic() - _swept[0] >= SWEEP:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def discard(*cuts: DataFrame) -> None:
     """Deletes the tables of what written() returned, once nothing will read them again; other frames are left alone."""
     for df in cuts:
         if path := getattr(df, "_cut", None):
+            sweep(df.sparkSession)
             at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

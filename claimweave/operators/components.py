@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.tables import written
+from claimweave.functions.tables import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(edges.select("u", "v").where("u <> v").distinct(), "links")
     before = None
     for _ in range(rounds):
-        now = written(_small_star(_large_star(now)).distinct(), "links")
+        last, now = now, written(_small_star(_large_star(now)).distinct(), "links")
+        discard(last)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
