@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from claimweave.llm.common import ready, shared_dir, whole, written
 
 END_ID = 1
-MEMO_MOST = 150_000  #: encoded chunks, and encoded pieces, that a worker remembers
+MEMO_MOST = 400_000  #: encoded chunks, and encoded pieces, that a worker remembers
 LONG = 64  #: characters of the longest chunk that is remembered
 PIECE = 1 << 22  #: chunks encoded, and bytes of ids held, at a time
 _encoders: dict[str, tuple] = {}
