@@ -147,3 +147,32 @@ def test_token_files_part_null_and_repeated_ids(spark):
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
     assert np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() == [r.start for r in got]
     assert len({r.ids_crc32 for r in got}) == 6000
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark, sf):
+    import corpus_pipeline
+
+    names = ["row", "copy", "copies", "key", "kept", "leaky", "own", "x1", "d1", "c", "component", "stratum", "hash", "o1"]
+    rng = random.Random(21)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, prose(rng, 60), None, None, None), (None, prose(rng, 60), "en", "a", 1), (5, prose(rng, 60), "en", "a", 2), (5, prose(rng, 60), "xx", None, 3), (6, None, "en", "a", 4), (7, "", None, "b", 5), (8, " \n\t ", "en", "b", 6), (9, f"{prose(rng, 30)} {item}", "en", "a", 7)]
+    rows += rows[2:4] + [(10, prose(rng, 30_000), "en", "b", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    words = lambda t: len((t or "").split())
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, now.limit(0), sf).count() == 0, name
+        out = spark.createDataFrame(stage(spark, now, sf).collect(), now.schema)
+        assert out.columns == docs.columns and out.where(" or ".join(f"{n} <> 'own {n}'" for n in names)).count() == 0, name
+        now = out
+        if name == "quality_rules":
+            assert sorted(map(words, (r.text for r in now.collect()))) == sorted(words(r[1]) for r in rows if words(r[1]) >= 10)
+        if name == "ngram_jaccard":
+            assert now.count() == len({r[1] for r in rows if words(r[1]) >= 10})
+        if name == "decontamination":
+            assert not [r for r in now.collect() if item in r.text] and now.count() == 5
+    assert 3 <= now.count() <= 10
+    got = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
+    assert len(got) == now.count() and sum(r.doc_id is None for r in got) == now.where("doc_id is null").count()
+    assert corpus_pipeline.STAGES[-1][1](spark, now.limit(0), sf).count() == 0
