@@ -9,6 +9,7 @@ from claimweave.operators.evidence import build_citations
 from claimweave.operators.graph import _spots
 from claimweave.operators.mining import frequent_pairs
 
+PIECE = 1024  #: words of 64 claims that one row carries at most
 
 def entity_citations(mentions: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
     """T27, second phase: src, dst, n_shared: pairs of claims, the later id citing the earlier, with `least` entities in common, and that share of those of the claim with fewer.
@@ -23,17 +24,22 @@ def entity_citations(mentions: DataFrame, least: int = 2, share: float = 0.5) ->
 def entity_reach(mentions: DataFrame) -> DataFrame:
     """claim_id, n_partners: how many other claims share any entity with a claim; exact, and no pair becomes a row.
 
-    Claims with the same entities have the same partners and are looked up once. The claims of an entity are bits of words; a set's
-    partners are the union of its entities' words, united before they are shuffled. mentions: claim_id, entity; repeats
-    count once, nulls go. Sets of entities are told by 128-bit hashes.
+    Claims with the same entities have the same partners and are looked up once. The claims of an entity are bits of words and travel
+    as arrays, in pieces of PIECE words; a set's partners are the union of its entities' words, united where all of the set has
+    come together. mentions: claim_id, entity; repeats count once, nulls go. Sets of entities are told by 128-bit hashes.
     """
-    m = mentions.where("claim_id is not null and entity is not null").select("claim_id", "entity").distinct()
+    m = mentions.where("claim_id is not null and entity is not null").select("claim_id", "entity")
     word, bit = _spots(m, "claim_id")
-    held = m.groupBy("entity", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = m.select("entity", word.alias("word"), bit.alias("bit")).repartition("entity").groupBy("entity", "word").agg(F.bit_or("bit").alias("bits"))
+    held = held.groupBy("entity").agg(F.collect_list("word").alias("ws"), F.collect_list("bits").alias("bs"))
+    pieces = f"explode(transform(sequence(1, size(ws), {PIECE}), i -> struct(slice(ws, i, {PIECE}) as ws, slice(bs, i, {PIECE}) as bs)))"
+    held = held.select("entity", F.expr(pieces).alias("x")).select("entity", "x.ws", "x.bs")
     own = m.groupBy("claim_id").agg(F.array_sort(F.collect_set("entity")).alias("es")).select("claim_id", "es", F.xxhash64("es").alias("s1"), F.xxhash64(F.lit(1), "es").alias("s2"))
     sets = own.groupBy("s1", "s2").agg(F.first("es").alias("es")).select("s1", "s2", F.explode("es").alias("entity"))
-    met = sets.join(held, "entity").groupBy("s1", "s2", "word").agg(F.bit_or("bits").alias("bits"))
-    reach = met.groupBy("s1", "s2").agg((F.sum(F.bit_count("bits")) - 1).alias("n_partners"))
+    n = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as arrays are few bytes for the work in them
+    met = sets.join(held, "entity").select("s1", "s2", "ws", "bs").repartition(n, "s1", "s2")
+    words = met.select("s1", "s2", F.expr("inline(arrays_zip(ws, bs))")).toDF("s1", "s2", "word", "bits")
+    reach = words.groupBy("s1", "s2", "word").agg(F.bit_or("bits").alias("bits")).groupBy("s1", "s2").agg((F.sum(F.bit_count("bits")) - 1).alias("n_partners"))
     return own.select("claim_id", "s1", "s2").join(reach, ["s1", "s2"]).select("claim_id", "n_partners")
 
 
