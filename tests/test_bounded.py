@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import citations
+from claimweave.operators import citations, graph
 
 
 def shuffled(spark, run):
@@ -34,3 +34,38 @@ def test_reach_carries_claims_as_arrays(spark, monkeypatch):
         assert n == sum(bool(own[claim] & other) for other in own.values()) - 1
     assert len(got) == 1000
     assert rows < 40_000  # a row for each claim that a set of entities meets would be 100,000
+
+
+def _random_graph(spark, n=600, degree=60):
+    return spark.range(n * degree).selectExpr(f"id % {n} as src", f"pmod(xxhash64(id), {n}) as dst", "1.0 + pmod(xxhash64(id, 7), 50) / 10 as weight").where("src <> dst").dropDuplicates(["src", "dst"]).localCheckpoint()
+
+
+def test_top_cascades_and_chains_unite_few_paths(spark):
+    e = _random_graph(spark)
+    edges = e.toPandas()
+    after = edges.groupby("src")["dst"].apply(set).to_dict()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        casc, rows1 = shuffled(spark, lambda: graph.cascades(e, top=5).toPandas())
+        chain, rows2 = shuffled(spark, lambda: graph.chains(e, 20).toPandas())
+        links, rows3 = shuffled(spark, lambda: graph.pattern_links(graph.pattern_store(link=(e, ["src", "dst"]))).count())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    size = {a: len(set().union(*(after.get(b, set()) for b in s)) - {a}) * len(s) for a, s in after.items()}
+    want = sorted(((-m, a) for a, m in size.items()))[:5]
+    assert [(-r.magnitude, r.node) for r in casc.itertuples()] == want
+    two = edges.merge(edges, left_on="dst", right_on="src").query("src_x != dst_y")
+    two = two[[c not in after[a] for a, c in zip(two.src_x, two.dst_y)]]
+    two["s"] = -(two.weight_x * two.weight_y).round(6)
+    assert chain[["a", "b", "c"]].to_numpy().tolist() == two.sort_values(["s", "src_x", "dst_x", "dst_y"])[["src_x", "dst_x", "dst_y"]].head(20).to_numpy().tolist()
+    assert links == 2 * len(edges)
+    assert rows1 < 400_000 and rows2 < 400_000  # there are 600 * 60 * 60 paths
+    assert rows3 < 1.5 * len(edges)
+
+
+def test_top_chains_without_enough_or_with_negative_weights(spark):
+    e = spark.createDataFrame([(1, 2, -3.0), (2, 3, -4.0), (2, 4, 1.0), (5, 2, 2.0), (7, 8, None), (8, 9, 1.0)], "src long, dst long, weight double")
+    assert [tuple(r) for r in graph.chains(e, 100).collect()] == [tuple(r) for r in graph.chains(e).orderBy(F.desc("strength"), "a", "b", "c").collect()]
+    assert [tuple(r) for r in graph.chains(e, 1).collect()] == [(1, 2, 3, 12.0)]
