@@ -7,7 +7,9 @@ repeats is found by fingerprint: every window and item gets a SimHash of 384 bit
 shingles, cut into 24 blocks of 16. Windows are looked up by each block among the items' blocks, as they
 are and with any one bit flipped, so all fingerprints within 47 bits meet for certain (24 blocks can't
 all differ in two), and two of similarity 0.75, which differ in some 66, with a chance of 99.6 %; at 0.8
-it is 99.9 %. Others meet with a chance of 0.6 %, and go where more than RADIUS bits differ. Pairs
+it is 99.9 %. Others meet with a chance of 0.6 %, and go where more than RADIUS bits differ. Windows that
+fingerprints miss are found by an item's rarest shingles: those after which the others weigh less than
+the threshold's share of the item, so a window without any of them is below it. Pairs
 found are checked exactly: the sum of minima over the sum of maxima of shingle weights, where a shingle
 weighs its count times ln((1 + items) / (1 + items with it)) + 1. Items with equal words are one there.
 """
@@ -15,6 +17,7 @@ weighs its count times ln((1 + items) / (1 + items with it)) + 1. Items with equ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import SPACES, scratch, text_id, written
@@ -85,7 +88,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int
     weighed = spread.groupBy("wid", "h").agg(F.count("*").alias("n")).join(light(rarity), "h").groupBy("wid").agg(F.collect_list(F.expr("struct(h, n * idf as w)")).alias("iw"))
     items_w = written(known.join(weighed, "wid").selectExpr("wid", "n_words", "array_sort(iw) as iw").selectExpr("wid", "n_words", "iw", f"{_simhash('iw')} as ifp"), "items")
     shingle_rows = written(known.select("n_words", "k", F.posexplode("hs").alias("at", "h")).distinct(), "items")
-    hint = F.broadcast if shingle_rows.count() <= BROADCAST_SHINGLES else (lambda x: x)
+    shingle_rows_count = shingle_rows.count()
+    hint = F.broadcast if shingle_rows_count <= BROADCAST_SHINGLES else (lambda x: x)
 
     # where windows lie: documents by their own two hashes, of id and text
     who = ["xxhash64(doc_id, text) as d1", "xxhash64(1, doc_id is null, doc_id, text) as d2"]
@@ -114,8 +118,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int
     index = items_w.selectExpr("wid", "n_words", "ifp", f"posexplode({_blocks('ifp')}) as (b, v)").selectExpr("wid", "n_words", "ifp", "b", f"explode(transform({flips}, f -> v ^ f)) as v")
     index = F.broadcast(index) if total <= BROADCAST_INDEX else index
     probes = windows.selectExpr("wk", "n_words", "wfp", f"posexplode({_blocks('wfp')}) as (b, v)")
-    near = probes.join(index, ["n_words", "b", "v"]).selectExpr("wk", "wid", f"{_apart('wfp', 'ifp')} as hamming").where(f"hamming <= {RADIUS}").distinct()
-    both = near.join(windows.select("wk", "n_words", "ww"), "wk").join(items_w.select("wid", "iw"), "wid")
+    near = probes.join(index, ["n_words", "b", "v"]).where(f"{_apart('wfp', 'ifp')} <= {RADIUS}").select("wk", "wid")
+    # the exact way for the rest: an item's shingles from rare to common, up to where what is left can't reach the threshold
+    part = items_w.selectExpr("wid", "n_words", "explode(iw) as x").selectExpr("wid", "n_words", "x.h as h", "x.w as w")
+    left = F.sum("w").over(W.partitionBy("wid").orderBy("w", "h"))
+    rare = part.withColumns({"left": left, "mass": F.sum("w").over(W.partitionBy("wid"))}).where(F.col("left") >= threshold * F.col("mass") - 1e-5 * F.col("mass")).select("n_words", "h", "wid")
+    rare = F.broadcast(rare) if light is F.broadcast and shingle_rows_count <= BROADCAST_SHINGLES else rare
+    missed = windows.selectExpr("wk", "n_words", "explode(ww) as x").selectExpr("wk", "n_words", "x.h as h").join(rare, ["n_words", "h"]).select("wk", "wid")
+    near = near.union(missed).distinct()
+    both = near.join(windows.select("wk", "n_words", "ww", "wfp"), "wk").join(items_w.select("wid", "iw", "ifp"), "wid").withColumn("hamming", F.expr(_apart("wfp", "ifp")))
     least = "aggregate(ww, 0.0D, (a, x) -> a + coalesce(aggregate(filter(iw, y -> y.h = x.h), 0.0D, (s, y) -> s + least(y.w, x.w)), 0.0D))"
     mass = lambda a: f"aggregate({a}, 0.0D, (s, y) -> s + y.w)"
     scored = both.selectExpr("wk", "wid", "hamming", f"{least} as low", f"{mass('ww')} + {mass('iw')} as mass")

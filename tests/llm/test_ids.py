@@ -176,3 +176,23 @@ def test_stages_keep_odd_rows_and_clashing_columns(spark, sf):
     got = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
     assert len(got) == now.count() and sum(r.doc_id is None for r in got) == now.where("doc_id is null").count()
     assert corpus_pipeline.STAGES[-1][1](spark, now.limit(0), sf).count() == 0
+
+
+def test_leaks_that_no_fingerprint_finds(spark, monkeypatch):
+    """With fingerprints that never meet, every window that reaches the threshold is found all the same."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, [rng.choice(words) for _ in range(30)]) for i in range(20)]
+    docs = []
+    for i, ws in items:
+        for changed in (0, 1, 2):
+            own = list(ws)
+            for k in rng.sample(range(30), changed):
+                own[k] = "other"
+            docs.append((len(docs), " ".join(["before"] * 7 + own + ["after"] * 9)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    rows = lambda: {(r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontam.leaks(d, t, threshold=0.5).collect()}
+    want = rows()
+    monkeypatch.setattr(decontam, "RADIUS", -1)
+    assert rows() == want and len(want) >= 40
