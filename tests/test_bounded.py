@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import citations, graph
+from claimweave.operators import citations, graph, network
 
 
 def shuffled(spark, run):
@@ -69,3 +69,13 @@ def test_top_chains_without_enough_or_with_negative_weights(spark):
     e = spark.createDataFrame([(1, 2, -3.0), (2, 3, -4.0), (2, 4, 1.0), (5, 2, 2.0), (7, 8, None), (8, 9, 1.0)], "src long, dst long, weight double")
     assert [tuple(r) for r in graph.chains(e, 100).collect()] == [tuple(r) for r in graph.chains(e).orderBy(F.desc("strength"), "a", "b", "c").collect()]
     assert [tuple(r) for r in graph.chains(e, 1).collect()] == [(1, 2, 3, 12.0)]
+
+
+def test_aliases_spread_from_all_starts_together(spark):
+    """100 names that match and are all aliases of each other: a node is reached once, not once from each."""
+    pairs = spark.range(10_000).selectExpr("id div 100 as src", "id % 100 as dst").where("src < dst")
+    ids = spark.range(100)
+    mentions, claims, names = ids.selectExpr("id as doc", "id as entity"), ids.selectExpr("id as claim_id", "id as doc"), ids.selectExpr("id as entity", "'x' as name")
+    got, rows = shuffled(spark, lambda: network.search_entity_alias(pairs, mentions, claims, names, "x").count())
+    assert got == 100
+    assert rows < 15_000  # the 9,900 ends of pairs once
