@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.workers import ready
 
 BLOCK = 500  #: vectors of a block, about
+STRIP = 500  #: vectors of a block that are multiplied at a time
 
 
 def _blocks(vectors: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
@@ -18,7 +21,8 @@ def _blocks(vectors: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
     sizes = vectors.groupBy(*by).agg(F.expr(f"cast(1 + count(*) div {BLOCK} as int)").alias("blocks"))
     key = F.xxhash64(*keep, F.to_json(F.col("embedding")))
     parted = vectors.join(sizes, by).withColumn("block", F.pmod(key, F.col("blocks")).cast("int"))
-    rows = F.collect_list(F.struct(*keep, F.col("embedding").cast("array<double>").alias("e")))
+    kind = vectors.schema["embedding"].dataType.simpleString()  # floats travel as such
+    rows = F.collect_list(F.struct(*keep, F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("e")))
     return parted.groupBy(*by, "block", "blocks").agg(rows.alias("rows")).select(*by, "block", "blocks", *(F.expr(f"transform(rows, r -> r.{c})").alias(c) for c in keep), F.expr("flatten(transform(rows, r -> r.e))").alias("e"))
 
 
@@ -34,6 +38,19 @@ def _met(blocks: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
     return blocks.withColumn("block2", F.explode(F.expr("sequence(block, blocks - 1)"))).join(other, [*by, "block2"])
 
 
+def _strips(r, k: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a row of _met strip by strip: where the strip starts, its keys, the other block's and the cosines.
+
+    A block meets itself in its own order: the other side's may be another one, as collected rows come in any order.
+    """
+    own = r.block == r.block2
+    a, b = np.asarray(getattr(r, k)), np.asarray(getattr(r, k if own else f"{k}2"))
+    u = _unit(r.e, len(a))
+    v = u if own else _unit(r.e2, len(b))
+    for i in range(0, len(a), STRIP):
+        yield i, a[i : i + STRIP], b, u[i : i + STRIP] @ v.T
+
+
 def pair_stats(vectors: DataFrame, floors: list[float]) -> DataFrame:
     """Per topic over pairs of vectors (topic, source, embedding) from different sources: pairs, over1, over2, ... (above each floor), mean, most."""
     good = vectors.where("topic is not null and source is not null and embedding is not null").select("topic", F.col("source").cast("string").alias("source"), "embedding")
@@ -43,14 +60,13 @@ def pair_stats(vectors: DataFrame, floors: list[float]) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                a, b = np.asarray(r.source, object), np.asarray(r.source2, object)
-                sims = _unit(r.e, len(a)) @ _unit(r.e2, len(b)).T
-                apart = a[:, None] != b[None, :]
-                if r.block == r.block2:
-                    apart &= np.tri(len(a), k=-1, dtype=bool)
-                own = sims[apart]
-                if len(own):
-                    out.append((r.topic, len(own), float(own.sum()), float(own.max()), *(int((own > x).sum()) for x in floors)))
+                for i, a, b, sims in _strips(r, "source"):
+                    apart = a[:, None] != b[None, :]
+                    if r.block == r.block2:
+                        apart &= np.tri(len(a), len(b), k=i - 1, dtype=bool)
+                    own = sims[apart]
+                    if len(own):
+                        out.append((r.topic, len(own), float(own.sum()), float(own.max()), *(int((own > x).sum()) for x in floors)))
             yield pd.DataFrame(out, columns=["topic", "pairs", "total", "most", *over])
 
     over = [f"over{k + 1}" for k in range(len(floors))]
@@ -67,10 +83,11 @@ def vector_join(vectors: DataFrame, key: str, floor: float) -> DataFrame:
     def found(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                a, b = np.asarray(r.k), np.asarray(r.k2)
-                sims = _unit(r.e, len(a)) @ _unit(r.e2, len(b)).T
-                i, j = np.nonzero((sims >= floor) & (a[:, None] < b[None, :] if r.block == r.block2 else a[:, None] != b[None, :]))
-                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": sims[i, j]})
+                for _, a, b, sims in _strips(r, "k"):
+                    i, j = np.nonzero(sims >= floor)
+                    x, y = a[i], b[j]
+                    kept = x < y if r.block == r.block2 else x != y
+                    yield pd.DataFrame({"a": np.minimum(x, y)[kept], "b": np.maximum(x, y)[kept], "similarity": sims[i, j][kept]})
 
     kind = good.schema["k"].dataType.simpleString()
     return met.select("block", "block2", "k", "k2", "e", "e2").mapInPandas(found, f"a {kind}, b {kind}, similarity double")

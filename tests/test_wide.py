@@ -167,6 +167,28 @@ def test_vector_pairs_by_brute_force(spark, monkeypatch):
     assert found == {(i, j) for i, j, s in pairs if s >= 0.8} and len(found) >= 45
 
 
+def test_pair_stats_in_any_order_of_collected_rows(spark, monkeypatch):
+    """Both sides of a join of blocks collect their rows anew; a block's pairs with itself must not depend on the order."""
+    import claimweave.functions.vectors as vectors
+
+    meet = vectors._met
+
+    def turned(blocks, by, keep):
+        keys = {f"{c}2": F.reverse(f"{c}2") for c in keep}
+        return meet(blocks, by, keep).withColumns(keys | {"e2": F.expr("flatten(reverse(transform(sequence(0, size(e2) div 3 - 1), i -> slice(e2, i * 3 + 1, 3))))")})
+
+    rows = [(1, f"s{i % 7}", [float(i), 1.0, float(i * i % 11)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "topic int, source string, embedding array<float>")
+    seen = lambda r: (r.pairs, r.over1, round(r["mean"], 12), round(r.most, 12))
+    want = seen(pair_stats(df, [0.9]).first())
+    assert want[0] == sum(1 for i in range(60) for j in range(i) if i % 7 != j % 7)
+    monkeypatch.setattr(vectors, "_met", turned)
+    assert seen(pair_stats(df, [0.9]).first()) == want
+    monkeypatch.setattr(vectors, "STRIP", 7)
+    assert seen(pair_stats(df, [0.9]).first()) == want
+
+
+
 EDGES = "src long, dst long, rel_type string, weight double"
 
 
