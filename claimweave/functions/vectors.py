@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.workers import ready
 
-BLOCK = 500  #: vectors of a block, about
+BLOCK = 4_000  #: vectors of a block, about: each vector is shuffled once for every second block
 STRIP = 500  #: vectors of a block that are multiplied at a time
 
 

@@ -188,6 +188,13 @@ def test_pair_stats_in_any_order_of_collected_rows(spark, monkeypatch):
     assert seen(pair_stats(df, [0.9]).first()) == want
 
 
+def test_vectors_meet_in_few_large_blocks(spark):
+    import claimweave.functions.vectors as vectors
+
+    df = spark.range(9_000).selectExpr("id as k", "0 as whole", "array(cast(id as float), 1.0f) as embedding")
+    met = vectors._met(vectors._blocks(df, ["whole"], ["k"]), ["whole"], ["k"])
+    assert met.count() == 6 and dict(met.dtypes)["e2"] == "array<float>"  # 3 blocks; floats are not widened for the way
+
 
 EDGES = "src long, dst long, rel_type string, weight double"
 
