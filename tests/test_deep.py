@@ -29,6 +29,20 @@ def test_frequent_pairs_equal_all_pairs(spark):
     assert mining.correlations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("heavy, few, split", [(3, 2_000, 50_000), (5, 0, 4), (256, 0, 7), (0, 0, 50_000)])
+def test_frequent_pairs_in_light_and_heavy_documents(spark, monkeypatch, heavy, few, split):
+    for name, value in (("HEAVY", heavy), ("FEW", few), ("SPLIT", split)):
+        monkeypatch.setattr(mining, name, value)
+    rng = random.Random(heavy)
+    docs = {d: set(rng.sample("abcdefghijklmnop", rng.randint(1, 8))) for d in range(80)}
+    docs[500] = set("abcdefghijklmnop")
+    c, co = Counter(e for es in docs.values() for e in es), Counter(p for es in docs.values() for p in combinations(sorted(es), 2))
+    df = spark.createDataFrame([(d, e) for d, es in docs.items() for e in es], "doc long, entity string")
+    got = {(r.e1, r.e2): (r.co, r.c1, r.c2) for r in mining.frequent_pairs(df, 3, 0.3).collect()}
+    assert got == {p: (n, c[p[0]], c[p[1]]) for p, n in co.items() if n >= 3 and n >= 0.3 * min(c[x] for x in p) - 1e-9}
+
+
+
 def test_a_document_of_very_many_entities(spark):
     many = spark.range(50_000).selectExpr("-1 as doc", "id as entity")
     others = spark.range(40_000).selectExpr("id div 2 as doc", "id div 8 * 2 + id % 2 as entity")  # 5,000 pairs, four times each
