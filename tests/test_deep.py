@@ -55,6 +55,19 @@ def test_significance(spark):
     assert [r.s for r in got.collect()] == [0.5, 0.005, 0.1, 0.0, 1.0]
 
 
+def test_sequences_block_by_block(spark, monkeypatch):
+    rng = random.Random(5)
+    start = datetime.date(2020, 1, 1)
+    rows = [(rng.randrange(40), i, start + datetime.timedelta(rng.randrange(90))) for i in range(500)]
+    seen = lambda: mining.sequences(spark.createDataFrame(rows, "entity long, doc long, day date"), days=7, share=0.4, top=5000).collect()
+    whole = seen()
+    for name, value in (("BLOCK", 7), ("SPOTS", 5)):
+        monkeypatch.setattr(mining, name, value)
+    assert len(whole) > 50 and seen() == whole
+    best = mining.sequences(spark.createDataFrame(rows, "entity long, doc long, day date"), days=7, share=0.4, top=9).collect()
+    assert best == whole[:9]
+
+
 @pytest.mark.parametrize("days", [1, 7, 30])
 def test_sequences_equal_plain_version(spark, days):
     rng = random.Random(days)
