@@ -79,3 +79,13 @@ def test_aliases_spread_from_all_starts_together(spark):
     got, rows = shuffled(spark, lambda: network.search_entity_alias(pairs, mentions, claims, names, "x").count())
     assert got == 100
     assert rows < 15_000  # the 9,900 ends of pairs once
+
+
+def test_hubs_shuffle_counts_and_not_edges(spark):
+    edges = spark.range(40_000).selectExpr("id % 200 as src", "case when id % 211 > 0 then 1000 + id % 211 end as dst")
+    got, rows = shuffled(spark, lambda: [tuple(r) for r in graph.hubs(edges).collect()])
+    each = edges.union(edges.select("dst", "src")).toPandas().groupby("src", dropna=False)["dst"]
+    want = sorted(((-n, k) for k, n in each.size().items()), key=lambda x: (x[0], x[1] == x[1], x[1]))[:10]
+    assert [(-d, k) for k, d, _ in got if k is not None] == [(d, k) for d, k in want if k == k]
+    assert all(x == each.nunique().get(k, 200) for k, _, x in got if k is not None)
+    assert rows < 25_000  # 40,000 edges are 80,000 distinct ends
