@@ -229,6 +229,22 @@ def test_betweenness_of_a_long_chain(spark):
     assert centrality.betweenness(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weighted", [True, False])
+def test_betweenness_by_blocks_shuffles_no_row_for_each_pivot_and_edge(spark, weighted, monkeypatch):
+    from claimweave.operators import brandes
+    from test_bounded import shuffled
+
+    for name, few in (("PIVOTS", 16), ("BLOCK", 512), ("ROWS", 8), ("PART", 64)):
+        monkeypatch.setattr(brandes, name, few)
+    rng = random.Random(8)
+    edges = {(s, d): rng.choice([1, 2, 3]) for s in range(80) for d in rng.sample(range(80), 25) if s != d}
+    e = spark.createDataFrame([(s, d, float(w), "CITES") for (s, d), w in edges.items()], EDGES)
+    got, rows = shuffled(spark, lambda: {r.node: r.betweenness for r in centrality.betweenness(e, weighted=weighted).collect()})
+    want = plain_betweenness(80, edges if weighted else dict.fromkeys(edges, 1))
+    assert got.keys() == want.keys() and all(abs(got[v] - x) < 1e-9 for v, x in want.items())
+    assert rows < 40_000  # 80 pivots times 1,975 edges are 158,000
+
+
 def test_influence_equals_plain_version(spark):
     rng = random.Random(6)
     n, edges = 15, {}
