@@ -89,3 +89,13 @@ def test_hubs_shuffle_counts_and_not_edges(spark):
     assert [(-d, k) for k, d, _ in got if k is not None] == [(d, k) for d, k in want if k == k]
     assert all(x == each.nunique().get(k, 200) for k, _, x in got if k is not None)
     assert rows < 25_000  # 40,000 edges are 80,000 distinct ends
+
+
+def test_causal_pairs_shuffle_no_claims_that_name_their_entities(spark):
+    c = spark.range(2000).selectExpr("id as claim_id", "concat('N', id % 9) as a", "concat('m', id % 4, 'x') as b", "id % 3 as k", "0.7D as trust")
+    c = c.selectExpr("claim_id", "array(a, b, null, a) as entities", "case k when 0 then concat(a, ' causes ', b) when 1 then concat(b, ' due to ', a) else concat(a, ' and ', b) end as claim_text", "trust")
+    named = c.selectExpr("claim_id", "explode(entities) as entity")
+    got, rows = shuffled(spark, lambda: network.causal_pairs(c).collect())
+    assert rows < 1000 and got == network.causal_pairs(c, named).collect()
+    want = {(f"n{i % 9}", f"m{i % 4}x") for i in range(2000) if i % 3 < 2}
+    assert {(r.cause, r.effect) for r in got} == want and sum(r.n_claims for r in got) == sum(i % 3 < 2 for i in range(2000))
