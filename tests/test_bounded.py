@@ -99,3 +99,27 @@ def test_causal_pairs_shuffle_no_claims_that_name_their_entities(spark):
     assert rows < 1000 and got == network.causal_pairs(c, named).collect()
     want = {(f"n{i % 9}", f"m{i % 4}x") for i in range(2000) if i % 3 < 2}
     assert {(r.cause, r.effect) for r in got} == want and sum(r.n_claims for r in got) == sum(i % 3 < 2 for i in range(2000))
+
+
+def test_cooccurrence_shuffles_mentions_not_pairs(spark):
+    # 300 documents of 40 entities of 3,000: 234,000 pairs, some of them often
+    m = spark.range(300 * 40).selectExpr("id div 40 as doc", "if(id % 40 < 3, id % 40, pmod(xxhash64(id), 3000)) as entity")
+    m = m.union(spark.createDataFrame([(1, None), (None, 2), (999, None)], "doc long, entity long"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, rows = shuffled(spark, lambda: graph.cooccurrence(m).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    docs, count, c = {}, {}, {}
+    for doc, entity in {tuple(r) for r in m.collect()}:
+        docs.setdefault(doc, set()).add(entity)
+    for doc, es in docs.items():
+        for x in es - {None}:
+            if doc is not None:
+                c[x] = c.get(x, 0) + 1
+                for y in es - {None}:
+                    if x < y:
+                        count[x, y] = count.get((x, y), 0) + 1
+    want = {(x, y): (k, round(k * 301 / (c[x] * c[y]), 6)) for (x, y), k in count.items() if k >= 3}
+    assert {(r.e1, r.e2): (r.co, r.lift) for r in got} == want
+    assert rows < 100_000
