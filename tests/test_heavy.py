@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from claimweave.functions import rounds
+from claimweave.functions import rounds, vector_index
 from claimweave.operators import components
 
 
@@ -44,3 +46,19 @@ def test_shuffles_go_by_rows_not_bytes(spark):
     with rounds.by_rows(spark, 20 * rounds.ROWS):
         assert spark.range(100).groupBy((F.col("id") % 7).alias("k")).count().rdd.getNumPartitions() == 21
     assert {k: spark.conf.get(k) for k in was} == was
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_low_floors_go_by_blocks_and_lose_no_pair(spark, monkeypatch, kind):
+    monkeypatch.setattr(vector_index, "FEWEST", 100)
+    labels, write = [], vector_index.written
+    monkeypatch.setattr(vector_index, "written", lambda df, label: labels.append(label) or write(df, label))
+    x = np.random.default_rng(4).normal(size=(900, 16)) * np.array([1e-200, 1, 1e200])[np.arange(900) % 3][:, None]
+    key = [i if kind == "long" else f"k{i:03}" for i in [*range(899), 5]]  # a key that repeats
+    rows = spark.createDataFrame([*zip(key, x.tolist(), strict=True), (None, [1.0] * 16), (key[0], [0.0] * 16)], f"id {kind}, embedding array<double>")
+    got = [(r.a, r.b, round(r.similarity, 6)) for r in vector_index.near_pairs(rows, "id", 0.35, exact=True).collect()]
+    assert "blocks" in labels and "listed" not in labels
+    u = vector_index.unit([v.tobytes() for v in x])
+    sims = u @ u.T
+    want = [(*sorted((key[i], key[j])), round(sims[i, j], 6)) for i in range(900) for j in range(i) if key[i] != key[j] and sims[i, j] >= 0.35]
+    assert len(got) == len(want) > 1000 and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 2e-6 for g, w in zip(sorted(got), sorted(want), strict=True))
