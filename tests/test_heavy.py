@@ -76,3 +76,12 @@ def test_influence_does_not_shuffle_its_edges_in_rounds(spark):
         assert "hashpartitioning(dst" not in plan.split("InMemoryRelation")[0]
     none = network.influence(e.limit(0).select("src", "dst"))
     assert none.columns == ["node", "pagerank", "eigenvector", "influence"] and none.count() == 0
+
+
+def test_communities_deal_a_hub_and_stay_the_same(spark, monkeypatch):
+    e = spark.createDataFrame([(0, k, 1.0) for k in range(1, 301)] + [(k, k + 1, 2.0) for k in range(301, 320)], "src long, dst long, weight double")
+    want = {tuple(r) for r in network.communities(e).collect()}
+    monkeypatch.setattr(rounds, "ROWS", 40)
+    with rounds.dealt(e, "src", "dst") as a:
+        assert max(r["count"] for r in a.groupBy(F.spark_partition_id()).count().collect()) < 100
+    assert {tuple(r) for r in network.communities(e).collect()} == want and len(want) == 321
