@@ -245,6 +245,43 @@ def test_betweenness_by_blocks_shuffles_no_row_for_each_pivot_and_edge(spark, we
     assert rows < 40_000  # 80 pivots times 1,975 edges are 158,000
 
 
+@pytest.mark.parametrize("few", [{}, {"KINDS": 2}, {"FULL": 0, "PART": 8}, {"ALONE": 150, "WAVE": 600}, {"OWN": 0, "WORK": 500, "HELD": 40}, {"SPLIT": 0, "WAVE": 1}])
+def test_betweenness_by_components(spark, monkeypatch, few):
+    from claimweave.operators import brandes
+
+    for name, value in few.items():
+        monkeypatch.setattr(brandes, name, value)
+    rng = random.Random(9)
+    edges = {}
+    for start, n, k in ((0, 30, 7), (30, 25, 3), (55, 3, 1), (58, 2, 1)):
+        for s in range(start, start + n):
+            for d in rng.sample(range(start, start + n), k):
+                if s != d:
+                    edges[s, d] = rng.choice([1, 2, 2, 3])
+    edges |= {(i, i + 1): 1 for i in range(60, 79)}
+    rows = [(s, d, float(w), "CITES") for (s, d), w in edges.items()] + [(90, 91, 1.0, "CONTRADICTS")]
+    e = spark.createDataFrame(rows, EDGES).repartition(5)
+    own = plain_betweenness(92, edges)
+    got = {r.node: r.betweenness for r in centrality.betweenness(e).collect()}
+    assert {90, 91} <= got.keys() and all(abs(got.get(v, 0.0) - x) < 1e-9 for v, x in own.items())
+    some = spark.createDataFrame([(2,), (35,), (61,), (90,)], "node long")
+    want = plain_betweenness(92, dict.fromkeys(edges, 1), [2, 35, 61])
+    got = {r.node: r.betweenness for r in centrality.betweenness(e, some, weighted=False).collect()}
+    assert all(abs(got.get(v, 0.0) - x) < 1e-9 for v, x in want.items())
+    steps = {r.node: r.betweenness for r in centrality.betweenness(e, some, weighted=False, longest=3).collect()}
+    assert steps[62] == 2.0 and steps[63] == 1.0 and steps[64] == 0.0
+
+
+def test_parted_graphs_shuffle_edges_alone(spark):
+    from test_bounded import shuffled
+
+    rng = random.Random(10)
+    edges = [(60 * c + s, 60 * c + d, 1.0, "CITES") for c in range(20) for s in range(60) for d in rng.sample(range(60), 12) if s != d]
+    e = spark.createDataFrame(edges, EDGES)
+    got, rows = shuffled(spark, lambda: centrality.betweenness(e).count())
+    assert got == 1_200 and rows < 150_000  # 1,200 nodes squared are 1,440,000
+
+
 def test_influence_equals_plain_version(spark):
     rng = random.Random(6)
     n, edges = 15, {}
