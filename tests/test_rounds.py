@@ -312,3 +312,12 @@ def test_influence_equals_plain_version(spark):
     assert len(got) >= 10 and centrality.pivot_error(100, 100) == 0 and 0.05 < centrality.pivot_error(10_000, 1000) < 0.1
     part = centrality.influence(spark.createDataFrame(rows, EDGES), pivots=8).collect()
     assert all(abs(p.betweenness - b[p.node] / ((n - 1) * (n - 2))) <= centrality.pivot_error(n, 8) for p in part)
+
+
+def test_the_query_of_influence_takes_all_nodes_for_pivots(spark, sf, monkeypatch):
+    from claimweave.plans.registry import QUERIES
+
+    asked = []
+    monkeypatch.setattr(centrality, "influence", lambda edges, pivots=None, **more: asked.append(pivots) or edges)
+    QUERIES["g10_influence_in_full"](spark, sf)
+    assert asked == [None]
