@@ -123,3 +123,32 @@ def test_cooccurrence_shuffles_mentions_not_pairs(spark):
     want = {(x, y): (k, round(k * 301 / (c[x] * c[y]), 6)) for (x, y), k in count.items() if k >= 3}
     assert {(r.e1, r.e2): (r.co, r.lift) for r in got} == want
     assert rows < 100_000
+
+
+def _seeded(spark):
+    """Edges among 300 nodes in two parts, one of them a star, and every 3rd node and one unlinked for seeds."""
+    ring = spark.range(6_000).selectExpr("pmod(xxhash64(id), 150) as src", "pmod(xxhash64(id, 3), 150) as dst", "if(id % 3 = 0, null, 'CITES') as rel_type")
+    star = spark.range(149).selectExpr("200 as src", "201 + id as dst", "'CITES' as rel_type")
+    return ring.union(star).localCheckpoint(), spark.range(0, 360, 3).withColumnRenamed("id", "seed")
+
+
+def test_a_seed_with_enough_nodes_looks_no_farther(spark):
+    e, seeds = _seeded(spark)
+    near = {}
+    for a, b, _ in e.collect():
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for depth, most in ((2, 20), (2, 200), (3, 151), (1, 5)):
+        want = set()
+        for r in seeds.collect():
+            far, last = {r.seed: 0}, {r.seed}
+            for k in range(1, depth + 1):
+                last = {c for b in last for c in near.get(b, ())} - far.keys()
+                far |= dict.fromkeys(last, k)
+            ranked = sorted((d, -len(near.get(v, ())), v) for v, d in far.items())[:most]
+            want |= {(r.seed, v, d, -g) for d, g, v in ranked}
+        got, rows = shuffled(spark, lambda: [tuple(r) for r in network.entity_graph(e, seeds, depth, most).collect()])
+        assert len(got) == len(want) and set(got) == want
+        if most == 20:
+            assert rows < 40_000
