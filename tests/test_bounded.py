@@ -132,6 +132,24 @@ def _seeded(spark):
     return ring.union(star).localCheckpoint(), spark.range(0, 360, 3).withColumnRenamed("id", "seed")
 
 
+def test_subgraphs_of_seeds_are_shuffled_as_bits(spark):
+    e, seeds = _seeded(spark)
+    edges = [tuple(r) for r in e.distinct().collect()]
+    near = {}
+    for a, b, _ in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = set()
+    for r in seeds.collect():
+        one = near.get(r.seed, set())
+        ball = {r.seed} | one | {c for b in one for c in near[b]}
+        want |= {(r.seed, *x) for x in edges if x[0] in ball and x[1] in ball}
+    got, rows = shuffled(spark, lambda: [tuple(r) for r in network.citation_subgraph(e, seeds).collect()])
+    assert len(got) == len(want) > 200_000 and set(got) == want
+    assert rows < 60_000
+
+
 def test_a_seed_with_enough_nodes_looks_no_farther(spark):
     e, seeds = _seeded(spark)
     near = {}
