@@ -224,3 +224,41 @@ def test_profiles_and_categories(spark, tmp_path):
     rules = [("history", "H"), ("hist", "X")]
     paths = spark.createDataFrame([("/a/History.pdf",), ("/hist/x",), (None,), ("z",)], "p string").select(io.infer_category(F.col("p"), rules).alias("c"))
     assert [r.c for r in paths.collect()] == ["H", "X", "general", "general"]
+
+
+@pytest.mark.parametrize("top, share, block", [(3, 0.5, 1 << 17), (40, 0.5, 64), (40, 1.0, 7), (100_000, 0.3, 64), (5, 1.1, 64)])
+def test_the_best_sequences_of_many_ties(spark, monkeypatch, top, share, block):
+    monkeypatch.setattr(mining, "BLOCK", block)
+    for name in ("CHUNK", "FIRST"):
+        monkeypatch.setattr(mining, name, 20)
+    rng = random.Random(top)
+    start = datetime.date(2020, 1, 1)
+    base = [(rng.randrange(50), start + datetime.timedelta(rng.choice([*range(120), 4000]))) for _ in range(400)]
+    rows = [(f"{e}-{k}", i * 3 + k, day) for i, (e, day) in enumerate(base) for k in range(3)] + [("one", 10_000 + i, start + datetime.timedelta(50)) for i in range(9)]
+    got = mining.sequences(spark.createDataFrame(rows, "entity string, doc long, day date"), days=9, share=share, top=top).collect()
+    by = {}
+    for e, _, day in rows:
+        by.setdefault(e, []).append((day - start).days)
+    want = []
+    for a, x in by.items():
+        for b, y in by.items():
+            if a != b and min(len(x), len(y)) >= 3:
+                one, two = sum(any(1 <= q - p <= 9 for q in y) for p in x), sum(any(1 <= q - p <= 9 for p in x) for q in y)
+                if one >= 3 and two >= 3 and one >= share * len(x):
+                    want.append((-round(one / len(x), 6), -one, a, b, two, len(x)))
+    assert [(-r.share, -r.count1, r.e1, r.e2, r.count2, r.c1) for r in got] == sorted(want)[:top]
+    assert share > 1 or len(got) == min(top, len(want)) > 0
+
+
+def test_sequences_judge_few_of_the_pairs(spark, monkeypatch):
+    asked = []
+    laid = mining._first_rows
+    monkeypatch.setattr(mining, "_first_rows", lambda known, key, kind: asked.append((kind, known.count())) or laid(known, key, kind))
+    monkeypatch.setattr(mining, "FIRST", 50)
+    start = datetime.date(2020, 1, 1)
+    many = [(e, e * 100 + i, start + datetime.timedelta(i)) for e in range(60) for i in range(20)]
+    few = [(1_000 + e, 100_000 + e * 10 + i, start + datetime.timedelta(i * 5)) for e in range(2_000) for i in range(3)]
+    ends = [(e, 900_000 + e, start + datetime.timedelta(20)) for e in range(30)]
+    got = mining.sequences(spark.createDataFrame(many + few + ends, "entity long, doc long, day date"), top=10).collect()
+    assert [(r.share, r.count1, r.c1) for r in got] == [(1.0, 20, 20)] * 10 and {r.e1 for r in got} == {30}
+    assert sum(n for kind, n in asked if kind) < 100
