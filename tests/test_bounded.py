@@ -20,6 +20,21 @@ def shuffled(spark, run):
     return out, total() - before
 
 
+def written_bytes(spark, run):
+    """What run returns, and the bytes that its stages shuffled."""
+    sc = spark.sparkContext
+    gateway = sc._gateway
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    out = run()
+    return out, total() - before
+
+
 def test_reach_carries_claims_as_arrays(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr(citations, "PIECE", 7)
@@ -36,6 +51,20 @@ def test_reach_carries_claims_as_arrays(spark, monkeypatch):
     assert rows < 40_000  # a row for each claim that a set of entities meets would be 100,000
 
 
+def test_reach_counts_the_claims_of_an_entity(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # 12,000 claims, each with up to 4 of 6,000 entities, 8 claims an entity; 20 pairs of claims are the same
+    m = spark.range(12_000).selectExpr("id * 64 as claim_id", "explode(transform(sequence(0, 3), i -> pmod(xxhash64(id % 11980, i), 6000))) as entity").localCheckpoint()
+    try:
+        got, carried = written_bytes(spark, lambda: citations.entity_reach(m).toPandas())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = m.distinct().toPandas()
+    own, of = rows.groupby("claim_id")["entity"].apply(set).to_dict(), rows.groupby("entity")["claim_id"].apply(set).to_dict()
+    assert {r.claim_id: r.n_partners for r in got.itertuples()} == {c: len(set().union(*(of[e] for e in es))) - 1 for c, es in own.items()}
+    assert carried < 5_000_000  # the claims of an entity as arrays, sent to each set that holds it, are 48,000 arrays of 8 words
+
+
 def _random_graph(spark, n=600, degree=60):
     return spark.range(n * degree).selectExpr(f"id % {n} as src", f"pmod(xxhash64(id), {n}) as dst", "1.0 + pmod(xxhash64(id, 7), 50) / 10 as weight").where("src <> dst").dropDuplicates(["src", "dst"]).localCheckpoint()
 
